@@ -1,0 +1,26 @@
+"""Connected components of an edge table, by smallest label with shortcuts; every round is a staged table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import staged
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> (id, label) for every id on an edge: label is the smallest id that it can reach.
+
+    A round takes the smallest label of each id's neighbours (a sum over edges that combines before its shuffle, so a hub
+    is no hot group) and then the label of that label. No edges: no rows. Self links and repeated edges change nothing.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
+    while True:
+        near = both.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = state.join(near, "id").select("id", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        jump = state.select(F.col("id").alias("to"), F.col("label").alias("over"))
+        moved = staged(step.join(jump, "to").select("id", F.least("to", "over").alias("label"), (F.least("to", "over") != F.col("was")).alias("moved")))
+        state = moved.select("id", "label")
+        if moved.where("moved").limit(1).count() == 0:
+            return state
