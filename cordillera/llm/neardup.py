@@ -5,10 +5,11 @@ count of the smallest one and the mantissa bits after its leading one. A bucket
 hashes of its own, so short texts fill every register too. Four registers, 64 bits, are a band.
 
 Texts with equal sets form a class, of which the smallest id goes on alone. Classes that share a band are candidates;
-within a band they are compared with its smallest member first. Once the links so found have been joined up, only members
-of one band that are still apart are compared with each other, so a large group of copies costs a comparison for each
-member and not for each pair. A candidate pair is weighed by its equal registers, less the collisions expected of such
-short registers, and what is left is confirmed on the full sets.
+within a band they are compared with its most central member first, the one that shares the largest bands. Where that has
+joined all of a band, it is done, so a large group of copies costs a comparison for each member and not for each pair. What
+is still apart is compared pair by pair in small bands. Large ones are joined to clusters, of which blocks of members that
+aren't joined up yet meet each other and the rest. A candidate pair is weighed by its equal registers, less the collisions
+expected of such short registers, and what is left is confirmed on the full sets.
 
 Defined cases: a null or empty text has an empty set and no links; fewer words than a shingle's make one shingle; rows
 that repeat an id are one document, that of the smallest text; a null id is a document like others, but never linked.
@@ -36,8 +37,10 @@ _EDGES = _SLOTS << np.uint64(57)
 _SALTS = mix(_SLOTS + np.uint64(0xABCDEF))
 #: A pair goes to the full sets if its corrected estimate is no further below the threshold than this: six deviations.
 SLACK = 0.2
-#: Bands of so few members still apart are settled in one round.
-SMALL = 32
+#: Bands of so few members are settled pair by pair; of larger ones, blocks of so many members and shingles meet.
+SMALL, MEMBERS, SHINGLES = 16, 256, 200_000
+#: Ids that may be broadcast: 8 MB.
+FEW = 500_000
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
@@ -97,7 +100,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 @pandas_udf(DoubleType())
-def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaccard similarity by equal registers, less the expected share of registers that collide by chance.
 
     Two different minima agree if they have one leading-zero count and one mantissa: with k values in a bucket, the
@@ -135,6 +138,60 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those that aren't among ids, if so few are (their number is counted) that a broadcast can tell; else docs,
+    as the joins that follow leave them out as well."""
+    return docs.join(F.broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi") if ids.count() <= FEW else docs
+
+
+def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members (cluster, id, label, n_shingles) of one cluster that have different labels.
+
+    Members of a cluster's commonest label, already joined up, are never compared with each other: its other members meet
+    each other and them, block by block. A block is bounded in members and in shingles, and a task holds two of them. It
+    gives a spanning forest of its links, at most one for each member.
+    """
+    common = members.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", -F.col("label"))).alias("m"))
+    sided = members.join(common.select("cluster", (-F.col("m.col2")).alias("most")), "cluster").withColumn("main", F.col("label") == F.col("most"))
+    totals = sided.groupBy("cluster").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / MEMBERS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("n_shingles"))), F.lit(0)) / SHINGLES)).cast("int").alias(n) for n, c in (("mains", F.col("main")), ("others", ~F.col("main")))])
+    placed = sided.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")), F.lit(1))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    with_main = F.transform(F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.col("block").alias("i"), (-k - 1).alias("j")))
+    meets = F.when(F.col("main"), F.transform(others, lambda i: F.struct(i.alias("i"), (-F.col("block") - 1).alias("j")))).otherwise(F.concat(F.transform(others, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))), with_main))
+    rows = placed.where("others > 0").join(narrowed(docs, members.select("id").distinct()).withColumnRenamed("doc_id", "id"), "id").select("cluster", "id", "label", "text", F.explode(F.array_distinct(meets)).alias("m")).select("cluster", "m.i", "m.j", "id", "label", "text")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, sets = group["id"].to_numpy(), group["label"].to_numpy(), list(shingle_sets(group["text"].tolist(), size))
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(inverse, kind="stable")
+        inverse, owner = inverse[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, len(words), 8192):
+            a, b = np.searchsorted(inverse, (lo, lo + 8192))
+            x = np.zeros((len(sets), 8192), np.float32)
+            x[owner[a:b], inverse[a:b] - lo] = 1
+            both += x @ x.T
+        i, j = np.nonzero((100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (labels[:, None] != labels[None]) & (both > 0))
+        parent = {int(x): int(x) for x in labels}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = root(int(labels[x])), root(int(labels[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     texts = text_of(docs)
@@ -143,38 +200,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     found = one.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s"))
     found = staged(found.select("class", "s.*"))  # a row for each class: the smallest id stands for it
     size_of = found.select(F.col("doc_id").alias("id"), "n_shingles", "registers")
-    bands = found.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("byte").alias("band"), F.substr("registers", i * 8 + 1, F.lit(8)).alias("key")))).alias("x"))
-    bands = bands.select(F.col("doc_id").alias("id"), "x.band", "x.key")
-    counted = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(bands.join(counted.drop("n"), ["band", "key"]))  # id, band, key, a: members of bands with more than one
+    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("byte").alias("band"), F.substr("registers", i * 8 + 1, F.lit(8)).alias("key")))
+    bands = found.select(F.col("doc_id").alias("id"), F.explode(each).alias("x")).select("id", "x.band", "x.key")
+    counted = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(bands.join(counted, ["band", "key"]))  # members of bands with more than one
+    # of a large group of edited copies, the one nearest to what they were made from shares the largest bands
+    central = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    ranked = shared.join(central, "id").select("band", "key", "id", "n", F.struct(-F.col("met"), "id").alias("rank"))
+    leaders = ranked.groupBy("band", "key").agg(F.min("rank")["id"].alias("a"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         sides = [size_of.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab"]
         weighed = pairs.join(sides[1], "b").join(sides[0], "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = weighed.where(estimate("ra", "rb", "na", "nb") >= percent / 100 - SLACK).select("a", "b")
-        return staged(similar(likely, texts, size, percent))
-
-    tried = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = confirm(tried)
-    members = shared.select("id", "band", "key")
-    while True:
-        labels = components(links)
-        members = members.join(labels, "id", "left").select("id", "band", "key", F.coalesce("label", "id").alias("label"))
-        spread = members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("done")).where("lo <> hi").select("band", "key", "done")
-        left = staged(members.join(spread, ["band", "key"]).where("id <> done"))  # the smallest has met all the others
-        sizes = left.groupBy("band", "key").agg(F.min(F.struct("id", "label")).alias("m"), F.count(F.lit(1)).alias("n"))
-        left = staged(left.join(sizes, ["band", "key"]).select("band", "key", "id", "label", "m", (F.col("n") <= SMALL).alias("small")))
-        # a large band: its next smallest against those of other components; a small one: all pairs still apart
-        next_one = left.where(~F.col("small") & (F.col("label") != F.col("m.label"))).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-        x, y = (left.where("small").select("band", "key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        apart = x.join(y, ["band", "key"]).where("a < b and la <> lb").select("a", "b")
-        more = staged(next_one.union(apart).distinct())
-        if more.limit(1).count() == 0:
-            break
-        links = staged(links.union(confirm(more)))
-        members = left.where("not small").select("id", "band", "key")
+        likely = staged(weighed.where(estimate("ra", "rb") >= percent / 100 - SLACK).select("a", "b"))
+        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return staged(similar(likely, narrowed(texts, ids), size, percent))
+
+    links = confirm(shared.join(leaders, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    labels = components(links)
+    members = shared.join(labels, "id", "left").select("id", "band", "key", "n", F.coalesce("label", "id").alias("label"))
+    spread = members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
+    left = staged(members.join(spread, ["band", "key"]))  # bands whose members are still apart
+    x, y = (left.where(F.col("n") <= SMALL).select("band", "key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    few = x.join(y, ["band", "key"]).where("a < b and la <> lb").select("a", "b").distinct()
+    large = left.where(F.col("n") > SMALL)
+    hubs = large.groupBy("band", "key").agg(F.min("id").alias("a"))
+    clusters = components(large.join(hubs, ["band", "key"]).select("a", F.col("id").alias("b")).distinct())
+    crowd = large.select("id", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "id").join(size_of.drop("registers"), "id")
+    more = staged(confirm(few).union(block_links(staged(crowd), texts, size, percent)))
+    if more.limit(1).count():
+        labels = components(links.union(more))
     reps = found.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("class", F.coalesce("label", "doc_id").alias("component_id"))
-    return one.join(reps, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    return one.join(reps, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def near_duplicates_query(spark, sf_dir: str) -> DataFrame:
