@@ -7,6 +7,7 @@ from .neighbors import neighbors_query
 from .packing import pack_query
 from .quality import quality_query
 from .secrets import secrets_query
+from .substrings import repeats_query
 from .toxicity import toxicity_query
 from .warc import REVISITS_SQL, revisits_query
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_packing": pack_query,
     "op2_warc_revisits": revisits_query,
     "op3_fingerprints": fingerprints_query,
+    "op4_repeats": repeats_query,
     "op5_quality": quality_query,
     "op6_secrets": secrets_query,
     "op7_mixing": mix_query,
