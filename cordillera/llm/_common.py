@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ def staged(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, so lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # frames that nothing refers to any more let go of their shuffle files
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +64,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return text_of(docs).join(F.broadcast(picked), "doc_id")
 
 
+def frames(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches as small frames, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows).to_pandas()
+
+
+def arrow(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> np.uint64(30))

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ._common import WordHasher, chunks, mix, staged, text_of
+from ._common import WordHasher, arrow, chunks, frames, mix, staged, text_of
 from .graph import components
 
 REGISTERS, PER_BAND, MANTISSA = 128, 4, 10
@@ -48,7 +49,7 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     hasher = WordHasher()
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-    for a, b in chunks(raw):
+    for a, b in chunks(raw, 500_000):
         words, at = hasher(raw[a:b])
         m = len(words) - size + 1
         rolled = sum((words[j : j + m] * factors[j] for j in range(1, size)), words[:m] * factors[0]) if m > 0 else words[:0]
@@ -88,15 +89,17 @@ def registers(s: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, class (128 bits of the whole set), registers (2 bytes each)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), size)
-            rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None) for s in sets]
-            yield pd.DataFrame(rows, columns=["n_shingles", "class", "registers"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_shingles", "class", "registers"]]
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = shingle_sets(part.column("text").to_pylist(), size)
+                rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "n_shingles", "class", "registers"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, class binary, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, registers binary")
 
 
 @pandas_udf(DoubleType())
@@ -118,24 +121,19 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     partition and is never gathered.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
-                codes, texts = pd.factorize(pd.concat([part["x"], part["y"]]))
-                sets = list(shingle_sets(texts.tolist(), size))
-                for i, (p, q) in enumerate(zip(codes[: len(part)], codes[len(part) :])):
-                    s, t = sets[p], sets[q]
-                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                        continue
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep[lo + i] = both and 100 * both >= percent * (len(s) + len(t) - both)
-            yield batch.loc[keep, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in frames(batches, 128):
+            codes, texts = pd.factorize(pd.concat([part["x"], part["y"]]))
+            sets, keep = list(shingle_sets(texts.tolist(), size)), []
+            for p, q in zip(codes[: len(part)], codes[len(part) :]):
+                s, t = sets[p], sets[q]
+                both = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
+                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            yield arrow(part.loc[keep, ["a", "b"]], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     left = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -203,28 +203,33 @@ def _windows(strings: DataFrame, shards: int) -> DataFrame:
         out = []
         one = grouped[~several]
         one = one[one["lo"] < one["hi"]]
-        out += [(sid, np.array([[0, len(t) - LENGTH + 1, lo]], np.int64).tobytes()) for sid, t, lo in zip(one.index, one["stretch"], one["lo"])]
+        whole = np.zeros((len(one), 3), np.int64)
+        whole[:, 1], whole[:, 2] = one["stretch"].map(len).to_numpy() - LENGTH + 1, one["lo"].to_numpy()
+        raw = whole.tobytes()
+        out += [(sid, raw[24 * k : 24 * k + 24]) for k, sid in enumerate(one.index.tolist())]
         many = grouped[several].sort_values(["hash", "lo"])
         sizes = many["stretch"].map(len).to_numpy() + 1 if len(many) else np.empty(0, np.int64)
         # slices of whole hashes, so that a task's arrays stay small
         hashes, total = many["hash"].to_numpy(), np.cumsum(sizes)
         a = 0
         while a < len(many):
-            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + 2_000_000, side="right"))
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000, side="right"))
             b = max(b, a + 1)
             b = int(np.searchsorted(hashes, hashes[b - 1], side="right"))
             own = many.iloc[a:b]
             pieces = own["stretch"].tolist()
             least = shard_windows(pieces, own["lo"].to_numpy())
-            at = 0
-            for sid, t, hi in zip(own.index, pieces, own["hi"]):
-                w = least[at : at + len(t) - LENGTH + 1]
-                at += len(t) + 1
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1))
-                runs = np.stack([cut, np.diff(np.append(cut, len(w))), w[cut]], 1)
-                runs = runs[runs[:, 2] < hi]
-                if len(runs):
-                    out.append((sid, runs.tobytes()))
+            length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            first = np.cumsum(length + 1) - length - 1
+            of = np.repeat(np.arange(len(pieces)), length - LENGTH + 1)  # the piece of every window
+            window = np.arange(len(of)) - np.repeat(np.cumsum(length - LENGTH + 1) - (length - LENGTH + 1), length - LENGTH + 1)
+            least = least[first[of] + window]
+            cut = np.flatnonzero((window == 0) | (np.diff(least, prepend=-1) != 0))
+            runs = np.stack([window[cut], np.diff(np.append(cut, len(of))), least[cut]], 1)
+            runs, of = runs[least[cut] < own["hi"].to_numpy()[of[cut]]], of[cut][least[cut] < own["hi"].to_numpy()[of[cut]]]
+            lead = np.flatnonzero(np.diff(of, prepend=-1))
+            ids = own.index.to_numpy()[of[lead]].tolist()
+            out += [(i, runs[x:y].tobytes()) for i, x, y in zip(ids, lead.tolist(), [*lead[1:].tolist(), len(of)])]
             a = b
         return pd.DataFrame(out, columns=["sid", "runs"])
 

@@ -14,9 +14,9 @@ def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the empty suffix after the last counts as smallest."""
     n = len(s)
     sign = np.empty(n, np.int8)
-    sign[:-1] = np.sign(s[1:] - s[:-1])
+    sign[:-1] = (s[1:] > s[:-1]).view(np.int8) - (s[1:] < s[:-1]).view(np.int8)
     sign[-1] = -1
-    at = np.where(sign != 0, np.arange(n), n)
+    at = np.where(sign != 0, np.arange(n, dtype=np.int32), np.int32(n))
     return sign[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
@@ -26,7 +26,7 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -
     n = len(s)
     ends = np.cumsum(np.bincount(s, minlength=letters))
     starts = ends - np.bincount(s, minlength=letters)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     order = np.argsort(s[seeds], kind="stable")
     seeds = seeds[order]
     own = s[seeds]
@@ -39,13 +39,13 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -
         at, c = at[by], c[by]
         cut = np.flatnonzero(np.diff(c, prepend=-1))
         size = np.diff(np.append(cut, len(c)))
-        place = np.arange(len(c)) - np.repeat(cut, size)
+        place = np.arange(len(c), dtype=np.int32) - np.repeat(cut, size)
         sa[heads[c] + step * place] = at
         heads[c[cut]] += step * size
 
     heads = starts.copy()
     if not small[n - 1]:
-        deal(np.array([n - 1]), heads, 1)
+        deal(np.array([n - 1], np.int32), heads, 1)
     for c in range(letters):  # larger suffixes, from the left
         done = starts[c]
         while done < heads[c]:
@@ -84,7 +84,7 @@ def _doubled(rank: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-h or n] = rank[h:] + 1 if h < n else 0
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.empty(n, np.int64)
         fresh[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
         rank, h = fresh, 2 * h
@@ -97,11 +97,16 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = s.astype(np.int64)
+    used = np.unique(s)
+    if len(used) < letters:  # letters that occur
+        rank = np.zeros(int(used[-1]) + 1, np.int64)
+        rank[used] = np.arange(len(used))
+        s, letters = rank[s], len(used)
+    s = s.astype(np.int16 if letters < 1 << 15 else np.int64)  # 16-bit letters are dealt by a radix sort
     if letters > ALPHABET:
-        return _doubled(np.unique(s, return_inverse=True)[1].astype(np.int64))
+        return _doubled(s.astype(np.int64))
     small = _types(s)
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(left):
         return _induce(s, small, left, letters)
     sorted_left = _induce(s, small, left, letters)
