@@ -34,11 +34,15 @@ def staged(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, so lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()  # frames that nothing refers to any more let go of their shuffle files
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frames that nothing refers to any more let go of their shuffle files now, not whenever the driver next collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone, a null text as an empty one; clashing extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

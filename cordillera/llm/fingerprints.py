@@ -5,9 +5,8 @@ variables r and c and a uniform b from its own hash, quantises its log weight to
 value log(c) - r * (t - b) - r; the term and t with the smallest value are the sample. Two texts have equal samples with a
 chance that equals their generalised Jaccard similarity: the sum of the smaller weights over that of the larger.
 
-All is done in DataFrame expressions: counts by run lengths in a sorted array of word hashes, within the row; samples in
-generated code, a row for each distinct term; minima of packed 63-bit numbers (value above, sample below), which combine in
-a hash aggregate. Rows stay where the join by doc_id dealt them, so terms are never shuffled.
+All is done in DataFrame expressions: counts and minima in hash aggregates, samples in generated code, as packed 63-bit
+numbers (value above, sample below). Rows stay where the join by doc_id dealt them, so terms are never shuffled.
 
 Defined cases: a null text is empty; a text without words has the fingerprint '', alike (1.0) to another such and unlike
 (0.0) to any with words; a null doc_id has no place in the order and no row; rows that repeat an id count once (the text
@@ -21,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ._common import staged, text_of
 
-SAMPLES, COUNT_BITS, CODE_BITS = 64, 24, 16
-_NONE = (1 << 63) - 1
+SAMPLES, WIDE, CODE_BITS = 32, 4, 16
 
 
 def neighbours(meta: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -35,34 +33,42 @@ def neighbours(meta: DataFrame, key: str = "doc_id") -> DataFrame:
     return dealt.withColumn("inside", inside).join(F.broadcast(ends), "part").select(*meta.columns, F.coalesce("inside", "before").alias("next_id"))
 
 
-def counted_terms(text: Column) -> Column:
-    """Array of longs: 40 bits of a word's hash and its count below them (COUNT_BITS bits, at most their largest number)."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    ordered = F.array_sort(F.transform(words, lambda w: F.shiftright(F.xxhash64(w), COUNT_BITS)))
-    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
-    packed = lambda s, e: F.transform(e, lambda i, j: F.shiftleft(F.get(s, i - 1), COUNT_BITS).bitwiseOR(F.least(i - F.coalesce(F.get(e, j - 1), F.lit(0)), F.lit((1 << COUNT_BITS) - 1)).cast("long")))
-    # each array is named by a one-element transform, so that it is made once for a row
-    one = F.transform(F.array(ordered), lambda s: F.transform(F.array(ends(s)), lambda e: packed(s, e)))
-    return F.when(F.size(words) > 0, F.flatten(F.flatten(one))).otherwise(F.array().cast("array<bigint>"))
+def counted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mask, term, n: the words of columns a and b of texts, by hash, with their counts. A word as frequent in both
+    gives one row of mask 3, else each text has a row of its own, mask 1 or 2; a text pair without words one without a term.
+
+    texts are dealt by the first key, so the counts are summed up where the rows are."""
+    both = texts.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("t")), F.struct(F.lit(2).alias("side"), F.col("b").alias("t")))).alias("x"))
+    words = both.select(*keys, "x.side", F.explode(F.split("x.t", r"[\x20\x09-\x0D]+")).alias("word"))
+    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    counts = words.groupBy(*keys, term.alias("term")).agg(*[F.coalesce(F.sum((F.col("side") == k).cast("long")), F.lit(0)).alias(c) for k, c in ((1, "p"), (2, "q"))])
+    pair = lambda mask, n: F.struct(F.lit(mask).alias("mask"), F.col(n).alias("n"))
+    rows = F.when(F.col("p") == F.col("q"), F.array(pair(3, "p"))).when(F.col("q") == 0, F.array(pair(1, "p"))).when(F.col("p") == 0, F.array(pair(2, "q"))).otherwise(F.array(pair(1, "p"), pair(2, "q")))
+    return counts.select(*keys, "term", F.explode(rows).alias("x")).select(*keys, "x.mask", "term", "x.n")
 
 
 def _uniform(x: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) * (1.0 / (1 << bits))
 
 
-def samples(frame: DataFrame, packed: str, keys: list[str], n: int = SAMPLES) -> DataFrame:
-    """For each group of keys and each hash, the smallest packed (value, code of the sample); frame has a row for each term."""
-    term, log_w = F.shiftright(packed, COUNT_BITS), F.log(F.col(packed).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("double"))
-    base = frame.select(*keys, term.alias("term"), log_w.alias("log_w"))
+def samples(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group of keys and each part of the hashes, the smallest packed (value, code of the sample) of WIDE hashes.
+
+    frame has a row for each term. It is repeated for each part, as the code of all hashes in one row is more than the JVM
+    compiles."""
+    log_w = F.coalesce(F.log(F.col("n").cast("double")), F.lit(0.0))
+    known = F.coalesce("term", F.lit(0))  # without nulls, less code; rows without a term give no sample below
+    base = frame.select(*keys, F.col("term").isNull().alias("bare"), known.alias("term"), log_w.alias("log_w"), F.explode(F.array(*[F.lit(k) for k in range(SAMPLES // WIDE)])).alias("part"))
     out = []
-    for k in range(n):
-        x, y = F.xxhash64("term", F.lit(2 * k)), F.xxhash64("term", F.lit(2 * k + 1))
+    for k in range(WIDE):
+        x = F.xxhash64("term", "part", F.lit(2 * k))
+        y = F.xxhash64("term", "part", F.lit(2 * k + 1))
         r, c, b = -F.log(_uniform(x, 0, 32) * _uniform(x, 32, 32)), -F.log(_uniform(y, 0, 21) * _uniform(y, 21, 21)), _uniform(y, 42, 21)
         t = F.floor(F.col("log_w") / r + b)
         value = F.log(c) - r * (t - b) - r
-        code = F.xxhash64("term", t).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
-        out.append(F.shiftleft(((value + 1024.0) * float(1 << 28)).cast("long"), COUNT_BITS).bitwiseOR(code).alias(f"s{k}"))
-    return base.select(*keys, *out).groupBy(*keys).agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(n)])
+        code = F.xxhash64("term", t).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+        out.append(F.shiftleft(((value + 1024.0) * float(1 << 35)).cast("long"), CODE_BITS).bitwiseOR(code).alias(f"s{k}"))
+    return base.select(*keys, "bare", "part", *out).groupBy(*keys, "part").agg(*[F.min(F.when(~F.col("bare"), F.col(f"s{k}"))).alias(f"s{k}") for k in range(WIDE)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -84,15 +90,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lent = lent.select("for_id", F.substr("text", F.lit(1), F.col("need").cast("int")).alias("prefix"))
     both = texts.join(links, "doc_id").join(lent, F.col("doc_id") == F.col("for_id"))
     both = both.select("doc_id", "next_id", "n_chars", "text", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("need")).cast("int")), "prefix").alias("edited"))
-    terms = both.select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), counted_terms(F.col("text")).alias("a"), counted_terms(F.col("edited")).alias("b"))
-    kinds = F.array(F.struct(F.lit(1).alias("mask"), F.array_except("a", "b").alias("p")), F.struct(F.lit(2).alias("mask"), F.array_except("b", "a").alias("p")), F.struct(F.lit(3).alias("mask"), F.array_intersect("a", "b").alias("p")))
     keys = ["doc_id", "next_id", "n_chars", "sha"]
-    rows = terms.select(*keys, F.explode(kinds).alias("x")).select(*keys, "x.mask", F.explode_outer("x.p").alias("p"))
-    least = samples(rows, "p", [*keys, "mask"])
+    texts = both.select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("text").alias("a"), F.col("edited").alias("b"))
+    least = samples(counted_terms(texts, keys), [*keys, "mask"])
     pick = lambda k, bit: F.min(F.when(F.col("mask").bitwiseAND(F.lit(bit)) > 0, F.col(f"s{k}")))
-    merged = least.groupBy(*keys).agg(*[pick(k, bit).alias(f"{v}{k}") for v, bit in (("a", 1), ("b", 2)) for k in range(SAMPLES)])
-    code = lambda v: F.when(F.col(f"{v}0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*[F.col(f"{v}{k}").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int") for k in range(SAMPLES)]))
-    return staged(merged.select("doc_id", "next_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), code("a").alias("codes"), code("b").alias("edited_codes")))
+    merged = least.groupBy(*keys, "part").agg(*[pick(k, bit).alias(f"{v}{k}") for v, bit in (("a", 1), ("b", 2)) for k in range(WIDE)])
+    code = lambda v: F.when(F.col(f"{v}0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*[F.col(f"{v}{k}").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int") for k in range(WIDE)]))
+    parts = merged.select(*keys, F.struct("part", code("a").alias("a"), code("b").alias("b")).alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return staged(parts.select("doc_id", "next_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.flatten("x.a").alias("codes"), F.flatten("x.b").alias("edited_codes")))
 
 
 def fingerprints_query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, mix, staged, text_of
+from ._common import chunks, mix, release, staged, text_of
 from .suffixes import common_prefix_at_least, suffix_array
 
 LENGTH, GRAM, BATCH, SHARD = 50, 16, 4_000_000, 8_000_000
@@ -137,12 +137,13 @@ def _repeated(table: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(judge, "batch long, hashes binary")
 
 
-def _cut(table: DataFrame, repeated: DataFrame) -> DataFrame:
-    """kind 0: a document's stretches (row, doc_id, sids, starts); kind 1: a distinct stretch (sid, hash, text, lo, hi)."""
+def _cut(table: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
+    """kind 0: a document's stretches (row, doc_id, sids, starts); kind 1: a batch's distinct stretches of one shard, packed."""
     import xxhash
+    import zstandard
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["kind", "row", "doc_id", "sids", "starts", "sid", "hash", "stretch", "lo", "hi"]
+        columns = ["kind", "row", "doc_id", "sids", "starts", "shard", "packed"]
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=columns)
         hot = np.sort(np.concatenate([_unpack(x) for x in right["hashes"]]))
@@ -150,30 +151,50 @@ def _cut(table: DataFrame, repeated: DataFrame) -> DataFrame:
         h, doc, start, windows = stretches(raw)
         at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
         mine = hot[at] == h
-        seen: dict[int, list] = {}
-        ids, out, lists = left["doc_id"].tolist(), [], {}
-        for g, d, s, w in zip(h[mine].tolist(), doc[mine].tolist(), start[mine].tolist(), windows[mine].tolist()):
-            piece = raw[d][s : s + w + LENGTH - 1]
-            sid = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-            own = seen.get(sid)
-            if own is None:
-                seen[sid] = [g, piece, ids[d], ids[d]]
-            elif ids[d] < own[2]:
-                own[2] = ids[d]
-            elif ids[d] > own[3]:
-                own[3] = ids[d]
-            sids, starts = lists.setdefault(d, ([], []))
-            sids.append(sid)
-            starts.append(s)
-        rows = left["row"].tolist()
-        out = [(0, rows[d], ids[d], a, b, 0, 0, None, 0, 0) for d, (a, b) in lists.items()]
-        out += [(1, 0, 0, None, None, sid, g, piece, lo, hi) for sid, (g, piece, lo, hi) in seen.items()]
+        h, doc, start, windows = h[mine], doc[mine], start[mine], windows[mine]
+        pieces = [raw[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), (start + windows + LENGTH - 1).tolist())]
+        sids = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)).view(np.int64)
+        ids, rows = left["doc_id"].to_numpy(), left["row"].tolist()
+        lead = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+        out = [(0, rows[doc[a]], int(ids[doc[a]]), sids[a:b], start[a:b].astype(np.int32), 0, None) for a, b in zip(lead, [*lead[1:], len(doc)])]
+        order = np.lexsort((sids, (h % np.uint64(shards)).astype(np.int64)))
+        if len(order):
+            first = np.concatenate(([0], np.flatnonzero(sids[order][1:] != sids[order][:-1]) + 1))
+            own = order[first]
+            lo, hi = (f.reduceat(ids[doc[order]], first) for f in (np.minimum, np.maximum))
+            shard = (h[own] % np.uint64(shards)).astype(np.int64)
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            lead = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            for a, b in zip(lead, [*lead[1:], len(own)]):
+                texts = [pieces[k] for k in own[a:b].tolist()]
+                head = np.concatenate([[b - a], sids[own[a:b]], h[own[a:b]].view(np.int64), lo[a:b], hi[a:b], [len(t) for t in texts]]).astype("<i8").tobytes()
+                out.append((1, 0, 0, None, None, int(shard[a]), squeeze(head + b"".join(texts))))
         return pd.DataFrame(out, columns=columns)
 
-    schema = "kind int, row long, doc_id long, sids array<long>, starts array<int>, sid long, hash long, stretch binary, lo long, hi long"
+    schema = "kind int, row long, doc_id long, sids array<long>, starts array<int>, shard int, packed binary"
     return table.where("not lost").select("batch", "row", "doc_id", "text").groupBy("batch").cogroup(repeated.groupBy("batch")).applyInPandas(run, schema)
 
 
+def _unpacked(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of a shard's packed stretches, each distinct one: sid, hash, smallest and largest document, bytes; by hash."""
+    import zstandard
+
+    columns, texts = [], []
+    for part in parts:
+        part = zstandard.ZstdDecompressor().decompress(part)
+        n = int(np.frombuffer(part, "<i8", 1)[0])
+        head = np.frombuffer(part, "<i8", 5 * n, 8).reshape(5, n)
+        ends = np.cumsum(head[4]) + 8 * (5 * n + 1)
+        texts += [part[e - k : e] for e, k in zip(ends.tolist(), head[4].tolist())]
+        columns.append(head[:4])
+    sid, h, lo, hi = np.concatenate(columns, 1)
+    order = np.lexsort((sid, h))
+    s = sid[order]
+    first = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
+    own = order[first]
+    return sid[own], h[own], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first), [texts[k] for k in own.tolist()]
+
+
 def shard_windows(pieces: list[bytes], lo: np.ndarray) -> np.ndarray:
     """For every byte of the pieces, one after another with a byte between: the smallest document of the window of LENGTH
     bytes that starts there, if one does. lo: each piece's smallest document."""
@@ -193,53 +214,52 @@ def shard_windows(pieces: list[bytes], lo: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(strings: DataFrame, shards: int) -> DataFrame:
+def _windows(strings: DataFrame) -> DataFrame:
     """(sid, runs): of each stretch with windows that start in a document smaller than its largest, the runs of windows with
     one smallest document, as (first window, windows, document) triples of longs."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        grouped = group.groupby("sid", sort=False).agg(hash=("hash", "first"), stretch=("stretch", "first"), lo=("lo", "min"), hi=("hi", "max"))
-        several = grouped.groupby("hash")["lo"].transform("size").to_numpy() > 1
-        out = []
-        one = grouped[~several]
-        one = one[one["lo"] < one["hi"]]
-        whole = np.zeros((len(one), 3), np.int64)
-        whole[:, 1], whole[:, 2] = one["stretch"].map(len).to_numpy() - LENGTH + 1, one["lo"].to_numpy()
+        sid, h, lo, hi, texts = _unpacked(group["packed"])
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        edge = np.concatenate(([True], h[1:] != h[:-1], [True]))
+        several = ~(edge[1:] & edge[:-1])  # where a hash has more stretches than one
+        one = ~several & (lo < hi)
+        whole = np.zeros((int(one.sum()), 3), np.int64)
+        whole[:, 1], whole[:, 2] = length[one] - LENGTH + 1, lo[one]
         raw = whole.tobytes()
-        out += [(sid, raw[24 * k : 24 * k + 24]) for k, sid in enumerate(one.index.tolist())]
-        many = grouped[several].sort_values(["hash", "lo"])
-        sizes = many["stretch"].map(len).to_numpy() + 1 if len(many) else np.empty(0, np.int64)
-        # slices of whole hashes, so that a task's arrays stay small
-        hashes, total = many["hash"].to_numpy(), np.cumsum(sizes)
+        out = [(s, raw[24 * k : 24 * k + 24]) for k, s in enumerate(sid[one].tolist())]
+        many = np.flatnonzero(several)
+        total, hashes = np.cumsum(length[many] + 1), h[many]
         a = 0
-        while a < len(many):
-            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000, side="right"))
-            b = max(b, a + 1)
+        while a < len(many):  # slices of whole hashes, so that a task's arrays stay small
+            b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000, side="right")), a + 1)
             b = int(np.searchsorted(hashes, hashes[b - 1], side="right"))
-            own = many.iloc[a:b]
-            pieces = own["stretch"].tolist()
-            least = shard_windows(pieces, own["lo"].to_numpy())
-            length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            first = np.cumsum(length + 1) - length - 1
-            of = np.repeat(np.arange(len(pieces)), length - LENGTH + 1)  # the piece of every window
-            window = np.arange(len(of)) - np.repeat(np.cumsum(length - LENGTH + 1) - (length - LENGTH + 1), length - LENGTH + 1)
-            least = least[first[of] + window]
+            own = many[a:b]
+            size = length[own]
+            least = shard_windows([texts[k] for k in own.tolist()], lo[own])
+            n = size - LENGTH + 1
+            of = np.repeat(np.arange(len(own)), n)  # the piece of every window
+            window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            least = least[(np.cumsum(size + 1) - size - 1)[of] + window]
             cut = np.flatnonzero((window == 0) | (np.diff(least, prepend=-1) != 0))
             runs = np.stack([window[cut], np.diff(np.append(cut, len(of))), least[cut]], 1)
-            runs, of = runs[least[cut] < own["hi"].to_numpy()[of[cut]]], of[cut][least[cut] < own["hi"].to_numpy()[of[cut]]]
+            good = least[cut] < hi[own][of[cut]]
+            runs, of = runs[good], of[cut][good]
             lead = np.flatnonzero(np.diff(of, prepend=-1))
-            ids = own.index.to_numpy()[of[lead]].tolist()
+            ids = sid[own][of[lead]].tolist()
             out += [(i, runs[x:y].tobytes()) for i, x, y in zip(ids, lead.tolist(), [*lead[1:].tolist(), len(of)])]
             a = b
         return pd.DataFrame(out, columns=["sid", "runs"])
 
-    return strings.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards))).groupBy("shard").applyInPandas(run, "sid long, runs binary")
+    return strings.groupBy("shard").applyInPandas(run, "sid long, runs binary")
 
 
 def repeated_runs(table: DataFrame, shards: int) -> DataFrame:
     """(row, runs): of each batched row that loses bytes, an array of (start, end)."""
-    cut = staged(_cut(table, _repeated(table, shards)))
-    windows = staged(_windows(cut.where("kind = 1").select("sid", "hash", "stretch", "lo", "hi"), shards))
+    cut = staged(_cut(table, _repeated(table, shards), shards))
+    release(table.sparkSession)
+    windows = staged(_windows(cut.where("kind = 1").select("shard", "packed")))
+    release(table.sparkSession)
     met = cut.where("kind = 0").select("row", "doc_id", F.explode(F.arrays_zip("sids", "starts")).alias("x")).select("row", "doc_id", F.col("x.sids").alias("sid"), F.col("x.starts").alias("start"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +272,9 @@ def repeated_runs(table: DataFrame, shards: int) -> DataFrame:
             yield pd.DataFrame({"row": row[lost], "start": begin, "end": begin + runs[lost, 1] + LENGTH - 1})
 
     found = met.join(windows, "sid").select("row", "doc_id", "start", "runs").mapInPandas(run, "row long, start long, end long")
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = staged(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
+    release(table.sparkSession)
+    return runs
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
