@@ -30,7 +30,7 @@ def stable_id(id_: Column, pmid: Column, arxiv: Column, doi_: Column, title_: Co
 def authors(x: Column) -> Column:
     """An author list from text: split at semicolons if there are any, else at commas."""
     parts = F.when(F.contains(x, F.lit(";")), F.split(x, ";")).otherwise(F.split(x, ","))
-    return F.filter(F.transform(parts, F.trim), lambda a: a != "")
+    return F.filter(F.transform(parts, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def journal_key(x: Column) -> Column:
