@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -40,9 +41,19 @@ def staged(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Frames that nothing refers to any more let go of their shuffle files now, not whenever the driver next collects."""
     gc.collect()
+    time.sleep(1)  # their names leave the gateway in the background
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again."""
+    jvm, sc = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("staged-"):
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone, a null text as an empty one; clashing extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ._common import staged, text_of
 
 SAMPLES, WIDE, CODE_BITS = 32, 4, 16
+#: Code points of a part's texts, about.
+PART = 4_000_000
 
 
 def neighbours(meta: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,6 +88,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         texts = staged(texts.withColumn("first", first).where("first = 1").drop("first"))
         meta = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"))
     links = staged(neighbours(meta).withColumn("need", F.floor(F.col("n_chars") / 3)))
+    # dealt once for all that follows, in parts small enough for the counts of their terms to stay in memory
+    texts = texts.repartition(max(8, int((links.agg(F.sum("n_chars")).first()[0] or 0) // PART)), "doc_id")
     lent = texts.join(links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "need"), "doc_id")
     lent = lent.select("for_id", F.substr("text", F.lit(1), F.col("need").cast("int")).alias("prefix"))
     both = texts.join(links, "doc_id").join(lent, F.col("doc_id") == F.col("for_id"))

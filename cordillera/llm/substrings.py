@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, mix, release, staged, text_of
+from ._common import chunks, discard, mix, release, staged, text_of
 from .suffixes import common_prefix_at_least, suffix_array
 
 LENGTH, GRAM, BATCH, SHARD = 50, 16, 4_000_000, 8_000_000
@@ -273,6 +273,8 @@ def repeated_runs(table: DataFrame, shards: int) -> DataFrame:
 
     found = met.join(windows, "sid").select("row", "doc_id", "start", "runs").mapInPandas(run, "row long, start long, end long")
     runs = staged(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
+    discard(cut)
+    discard(windows)
     release(table.sparkSession)
     return runs
 
