@@ -51,7 +51,7 @@ def stretches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         h, done = _TABLE[data], 1
         for k in range(GRAM.bit_length() - 1):
             h, done = h[:-done] * _STEPS[k] + h[done:], 2 * done
-        low = _smallest(mix(h), LENGTH - GRAM + 1) >> KEPT
+        low = mix(_smallest(mix(h), LENGTH - GRAM + 1)) >> KEPT  # mixed again, as minima crowd the low end of the shards' range
         size = np.fromiter(map(len, raw[a:b]), np.int64, b - a)
         first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
         doc = np.repeat(np.arange(b - a), size + 1)[: len(low)]
@@ -157,17 +157,18 @@ def _cut(table: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
         ids, rows = left["doc_id"].to_numpy(), left["row"].tolist()
         lead = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
         out = [(0, rows[doc[a]], int(ids[doc[a]]), sids[a:b], start[a:b].astype(np.int32), 0, None) for a, b in zip(lead, [*lead[1:], len(doc)])]
-        order = np.lexsort((sids, (h % np.uint64(shards)).astype(np.int64)))
+        order = np.lexsort((sids, h))
         if len(order):
             first = np.concatenate(([0], np.flatnonzero(sids[order][1:] != sids[order][:-1]) + 1))
             own = order[first]
             lo, hi = (f.reduceat(ids[doc[order]], first) for f in (np.minimum, np.maximum))
-            shard = (h[own] % np.uint64(shards)).astype(np.int64)
+            shard = (h[own] * np.uint64(shards) >> np.uint64(40)).astype(np.int64)
             squeeze = zstandard.ZstdCompressor(level=3).compress
             lead = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
             for a, b in zip(lead, [*lead[1:], len(own)]):
                 texts = [pieces[k] for k in own[a:b].tolist()]
-                head = np.concatenate([[b - a], sids[own[a:b]], h[own[a:b]].view(np.int64), lo[a:b], hi[a:b], [len(t) for t in texts]]).astype("<i8").tobytes()
+                steps = np.diff(h[own[a:b]].astype(np.int64), prepend=0)
+                head = np.concatenate([[b - a], steps, lo[a:b], hi[a:b] - lo[a:b], [len(t) for t in texts]]).astype("<i8").tobytes()
                 out.append((1, 0, 0, None, None, int(shard[a]), squeeze(head + b"".join(texts))))
         return pd.DataFrame(out, columns=columns)
 
@@ -177,17 +178,19 @@ def _cut(table: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
 
 def _unpacked(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of a shard's packed stretches, each distinct one: sid, hash, smallest and largest document, bytes; by hash."""
+    import xxhash
     import zstandard
 
     columns, texts = [], []
     for part in parts:
         part = zstandard.ZstdDecompressor().decompress(part)
         n = int(np.frombuffer(part, "<i8", 1)[0])
-        head = np.frombuffer(part, "<i8", 5 * n, 8).reshape(5, n)
-        ends = np.cumsum(head[4]) + 8 * (5 * n + 1)
-        texts += [part[e - k : e] for e, k in zip(ends.tolist(), head[4].tolist())]
-        columns.append(head[:4])
-    sid, h, lo, hi = np.concatenate(columns, 1)
+        step, lo, more, size = np.frombuffer(part, "<i8", 4 * n, 8).reshape(4, n)
+        ends = np.cumsum(size) + 8 * (4 * n + 1)
+        texts += [part[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]
+        columns.append(np.stack([np.cumsum(step), lo, lo + more]))
+    h, lo, hi = np.concatenate(columns, 1)
+    sid = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64)
     order = np.lexsort((sid, h))
     s = sid[order]
     first = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
