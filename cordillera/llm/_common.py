@@ -40,9 +40,11 @@ def staged(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Frames that nothing refers to any more let go of their shuffle files now, not whenever the driver next collects."""
-    gc.collect()
-    time.sleep(1)  # their names leave the gateway in the background
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # names leave the gateway in the background, and what they held a collection later
+        gc.collect()
+        time.sleep(1)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def discard(table: DataFrame) -> None:
