@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHasher, chunks, held_out, labelled_sample, mix, text_of
+from ._common import WordHasher, chunks, frames, held_out, labelled_sample, mix, text_of
 
 ROWS, BAG, PASSAGE = 4000, 64, 64
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 128, 0.01, 1e-4
@@ -160,9 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
 
 
 def score(docs: DataFrame, model: dict | float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in batches:
+        for batch in frames(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
             out = []
             for a, b in chunks(raw):
@@ -171,9 +172,9 @@ def score(docs: DataFrame, model: dict | float) -> DataFrame:
                 else:
                     x, first = encode(raw[a:b])
                     out.append(_forward(model, (x - model["mean"]) / model["scale"], first)["p"].astype(float))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.concatenate(out) if out else np.empty(0)})
+            yield pa.RecordBatch.from_arrays([pa.array(batch["doc_id"], pa.int64(), from_pandas=True), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
 
-    return text_of(docs).mapInPandas(run, "doc_id long, score double")
+    return text_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, discard, mix, release, staged, text_of
+from ._common import arrow, chunks, discard, frames, mix, release, staged, text_of
 from .suffixes import common_prefix_at_least, suffix_array
 
 LENGTH, GRAM, BATCH, SHARD = 50, 16, 4_000_000, 8_000_000
@@ -288,28 +289,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     runs = repeated_runs(table, max(8, int(size // SHARD)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    schema = pa.schema([("doc_id", pa.int64()), ("lost", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in frames(batches, 256):
             out = []
-            for doc_id, lost, text, own in zip(part["doc_id"], part["lost"], part["text"], part["runs"]):
-                raw, kept, at, removed, spans = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
-                end = -1
-                for s, e in sorted((r["start"], r["end"]) for r in own) if own is not None else ():
-                    if s > end:  # a gap: a new run
-                        kept.append(raw[at:s])
-                        spans += 1
-                        removed -= s
-                        end = e
-                        removed += e
-                    elif e > end:
-                        removed += e - end
-                        end = e
-                    at = end
-                kept.append(raw[at:])
-                out.append((doc_id, lost, len(raw), removed, spans, b"".join(kept)))
-            yield pd.DataFrame(out, columns=["doc_id", "lost", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    done = table.join(runs, "row", "left").select("doc_id", "lost", "text", "runs").mapInPandas(run, "doc_id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+            for doc_id, lost, text, start, end in zip(part["doc_id"], part["lost"], part["text"], part["start"], part["end"]):
+                raw = text.encode("utf-8", "surrogatepass")
+                if start is None or not len(start):
+                    out.append((doc_id, lost, len(raw), 0, 0, raw))
+                    continue
+                order = np.argsort(start)
+                s, reach = start[order], np.maximum.accumulate(end[order])
+                fresh = np.flatnonzero(np.concatenate(([True], s[1:] > reach[:-1])))
+                first, last = s[fresh], reach[np.append(fresh[1:], len(s)) - 1]
+                kept = b"".join(raw[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), len(raw)]))
+                out.append((doc_id, lost, len(raw), len(raw) - len(kept), len(fresh), kept))
+            yield arrow(pd.DataFrame(out, columns=schema.names), schema)
+
+    done = table.join(runs, "row", "left").select("doc_id", "lost", "text", F.col("runs.start").alias("start"), F.col("runs.end").alias("end")).mapInArrow(run, "doc_id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(F.when(~F.col("lost"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 

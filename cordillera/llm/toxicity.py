@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, labelled_sample, staged, text_of
+from ._common import frames, held_out, labelled_sample, staged, text_of
 
 #: Bounds of what is learned from: labelled rows, terms of the lexicon, buckets of context words, words on either side.
 ROWS, TERMS, BUCKETS, SIDE = 6000, 600, 4096, 4
@@ -260,16 +261,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model["lexicon"])
-        for batch in batches:
+        for batch in frames(batches):
             out = []
             for _, n, hits in scanner(batch["text"].tolist()):
                 x = np.hstack([features(hits, model["context"]), np.ones((n, 1))])
                 out.append(1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30))) if model["weights"] is not None else np.full(n, model["mean"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.concatenate(out) if out else np.empty(0)})
+            yield pa.RecordBatch.from_arrays([pa.array(batch["doc_id"], pa.int64(), from_pandas=True), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
 
-    return text_of(docs).mapInPandas(run, "doc_id long, score double")
+    return text_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,16 +283,16 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text scores below 0.5, with all their columns; no join, the score is made beside the row."""
     model, schema = train(docs, labels), docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model["lexicon"])
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             keep = []
-            for _, n, hits in scanner(batch["text"].fillna("").tolist()):
+            for _, n, hits in scanner([t or "" for t in batch.column("text").to_pylist()]):
                 x = np.hstack([features(hits, model["context"]), np.ones((n, 1))])
                 keep.append(x @ model["weights"] < 0 if model["weights"] is not None else np.full(n, model["mean"] < 0.5))
-            yield batch[np.concatenate(keep) if keep else np.zeros(0, bool)]
+            yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
