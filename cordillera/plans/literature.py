@@ -49,7 +49,17 @@ def add(c: Catalog) -> None:
     c.sql("journal_exact_fuzzy", "part", fuzzy.format(pn=norm_s.format("p_name"), qn=norm_s.format("case when p_partkey % 2 = 0 then p_name else substring(p_name, 2) end")), fuzzy.format(pn=norm_d.format("p_name"), qn=norm_d.format("case when p_partkey % 2 = 0 then p_name else substring(p_name, 2) end")))
     c.sql("journal_lookup_or", "part", "select p_partkey, p_name from part where p_brand = 'Brand#11' or contains(lower(p_name), 'red') order by p_partkey limit 50")
     c.sql("top_n_journals", "part", "select p_partkey, p_name, p_retailprice from part order by p_retailprice desc, p_partkey limit 25")
-    c.sql("vocabulary_substring_join", "benchmark documents", "select b.item_id, d.doc_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
+    # a term's longest inner word stands whole in every text that holds the term: an equi-join on it, then the term itself;
+    # terms without an inner word are compared with each text
+    c.sql("vocabulary_substring_join", "benchmark documents", """with v as (select item_id, lower(text) as term, array_max(transform(regexp_extract_all(lower(text), '(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])', 0), w -> named_struct('n', length(w), 'w', w))).w as anchor from benchmark),
+    w as (select doc_id, explode(array_distinct(regexp_extract_all(lower(text), '[a-z0-9]+', 0))) as word from documents), pairs as (select v.item_id, v.term, w.doc_id from w join v on w.word = v.anchor)
+    select p.item_id, d.doc_id from pairs p join documents d on p.doc_id = d.doc_id where contains(lower(d.text), p.term)
+    union all select v.item_id, d.doc_id from documents d join v on contains(lower(d.text), v.term) where v.anchor is null""", "select b.item_id, d.doc_id from documents d join benchmark b on contains(lower(d.text), lower(b.text))")
+    c.sql("first_reason", "orders", "select o_orderkey, case when o_orderstatus is null then 'no status' when o_totalprice < 5000 then 'small' when o_orderstatus = 'P' then 'pending' when o_orderkey = o_custkey then 'loop' end as reason from orders")
+    c.sql("doi_version", "pages", "select page_id, regexp_extract(d, '^(10[.][0-9]+/.+?)(?:v([0-9]+))?$', 1) as doi, regexp_extract(d, '^(10[.][0-9]+/.+?)(?:v([0-9]+))?$', 2) as version from (select page_id, case when page_id % 3 = 0 then concat('10.1101/', page_id) else concat('10.1101/', page_id, 'v', page_id % 4 + 1) end as d from pages) x")
+    c.sql("excluded_names", "part", "select p_partkey from part where not regexp_like(p_name, '^(re|gr)') and not startswith(p_name, '__')", "select p_partkey from part where not regexp_matches(p_name, '^(re|gr)') and not starts_with(p_name, '__')")
+    c.sql("digest_lines", "documents", "select lang, concat('- ', lang, ': ', listagg(source, ', ') within group (order by source)) as line from (select distinct lang, source from documents) x group by lang", "select lang, concat('- ', lang, ': ', string_agg(source, ', ' order by source)) as line from (select distinct lang, source from documents) x group by lang")
+    c.sql("user_sessions", "events", "select user_id, s.start as began, n from (select user_id, session_window(ts, '6 hours') as s, count(*) as n from events group by user_id, session_window(ts, '6 hours')) x", "with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as fresh from events), k as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as began, count(*) as n from k group by user_id, s")
     cand_s = "select doc_id, explode(array_distinct(regexp_extract_all(text, '[A-Z][A-Za-z]{2,7}', 0))) as term from documents"
     cand_d = "select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z]{2,7}'))) as term from documents"
     semi = ", voc as (select term from c group by term having count(*) between 20 and 200) select c.doc_id, count(*) as terms from c {} join voc on c.term = voc.term group by c.doc_id"

@@ -50,6 +50,10 @@ def add(c: Catalog) -> None:
     cells("polygon_area", ", p as (select cls, x, y, row_number() over (partition by cls order by id) as i, count(*) over (partition by cls) as n from cells) select a.cls, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6) as area from p a join p b on a.cls = b.cls and b.i = a.i % a.n + 1 group by a.cls")
     cells("kernel_weights", near + " select a as id, round(sum(exp(-d * d / (2 * 0.0004))), 6) as gauss, round(sum(exp(-d / 0.02)), 6) as expo from near group by a")
     cells("spline_basis", " select id, round(greatest(least(x * 4, 6.0) + 1, 0.0), 6) as h1, round(greatest(least(x * 4, 6.0), 0.0), 6) as h2, round(greatest(least(x * 4, 6.0) - 1, 0.0), 6) as h3 from cells")
+    cells("buffered_training", near + " select c.id from cells c left join (select distinct near.a from near where near.b % 5 = 0) x on c.id = x.a where c.id % 5 <> 0 and x.a is null")
+    cells("graph_smoothing", knn + ", w as (select u as i, v as j, exp(-d / 0.02) as w from edges union all select v, u, exp(-d / 0.02) from edges) select i as id, round(sum(w * c.x) / sum(w), 6) as smooth from w join cells c on w.j = c.id group by i")
+    cells("pair_ids", knn + ", p as (select cast(least(cu, cv) * 10 - floor(least(cu, cv) * (least(cu, cv) - 1) / 2) + greatest(cu, cv) - least(cu, cv) as bigint) as pair from edges) select pair, count(*) as n from p group by pair")
+    cells("grouped_folds", " select id, (dense_rank() over (order by floor(x / 0.2), floor(y / 0.2)) - 1) % 5 as fold from cells")
     c.sql("row_cosine", "embeddings", "select label, round(aggregate(zip_with(a, b, (x, y) -> cast(x as double) * y), cast(0 as double), (s, z) -> s + z) / sqrt(aggregate(transform(a, x -> cast(x as double) * x), cast(0 as double), (s, z) -> s + z) * aggregate(transform(b, x -> cast(x as double) * x), cast(0 as double), (s, z) -> s + z)), 6) as cosine from (select label, min_by(embedding, vec_id) as a, max_by(embedding, vec_id) as b from embeddings group by label) z", "select label, round(list_dot_product(list_transform(a, lambda x: x::double), list_transform(b, lambda x: x::double)) / sqrt(list_dot_product(list_transform(a, lambda x: x::double), list_transform(a, lambda x: x::double)) * list_dot_product(list_transform(b, lambda x: x::double), list_transform(b, lambda x: x::double))), 6) as cosine from (select label, min_by(embedding, vec_id) as a, max_by(embedding, vec_id) as b from embeddings group by label) z")
 
     def counts(name: str, rest: str, used: str = "lineitem part") -> None:
@@ -79,6 +83,15 @@ def add(c: Catalog) -> None:
     counts("weighted_idf", ", s as (select count(distinct spot) as n from counts) select gene, count(*) as df, round(ln((max(s.n) + 1) / cast(count(*) + 1 as double)) + 1, 6) as idf from counts cross join s group by gene")
     counts("marker_weights", ", m as (select gene, case when gene < 'Brand#2' then 4e0 else 5e-1 end as w from counts group by gene) select gene, round(w / sum(w) over (), 6) as w from m")
     counts("jensen_shannon", ", p as (select gene, sum(case when spot % 2 = 0 then n else 0 end) as a, sum(case when spot % 2 = 1 then n else 0 end) as b from counts group by gene), q as (select a / sum(a) over () as a, b / sum(b) over () as b from p) select round(sum(0.5 * a * ln(2 * a / (a + b)) + 0.5 * b * ln(2 * b / (a + b))), 8) as jsd, round(sqrt(0.5 * sum((sqrt(a) - sqrt(b)) * (sqrt(a) - sqrt(b)))), 8) as hellinger from q where a > 0 and b > 0")
+    shares = ", p as (select spot, gene, n / sum(n) over (partition by spot) as p from counts)"
+    counts("core_programs", shares + ", r as (select *, coalesce(sum(p) over (partition by spot order by p desc, gene rows between unbounded preceding and 1 preceding), 0) as before from p) select spot, gene from r where before < 0.99 or p >= 0.02")
+    counts("relative_enrichment", shares + ", q as (select *, avg(p) over (partition by gene) as prev from p) select spot, gene, round(p / pow(prev, 0.5), 6) as enrichment from q")
+    counts("detection_counts", " select gene, count(*) as spots, count(distinct spot % 10) as slides from counts where n > 0 group by gene")
+    counts("forced_panel", ", t as (select gene, sum(n) as total, case when gene in ('Brand#11', 'Brand#55') then 1 else 0 end as forced from counts group by gene) select gene, total, forced from t order by forced desc, total desc, gene limit 8")
+    counts("majority_part", ", m as (select spot, substring(gene, 1, 7) as part, sum(n) as n from counts group by spot, substring(gene, 1, 7)) select spot, part, n from (select *, row_number() over (partition by spot order by n desc, part) as rn from m) z where rn = 1")
+    counts("gene_halves", ", t as (select gene, sum(n) as n from counts group by gene), r as (select gene, row_number() over (order by n desc, gene) as rn from t) select gene, case when rn % 2 = 0 then 'graph' else 'selection' end as half from r")
+    c.sql("reliability_gate", "lineitem", "with l as (select l_linenumber as k, avg(pow(l_quantity - 25 + l_linenumber, 2)) as loss, avg(pow(l_quantity - 20, 2)) as base from lineitem group by l_linenumber) select k, round(case when loss >= base then 0e0 else greatest(0e0, least(1e0, 1 - loss / base)) end, 6) as reliability from l")
+    c.sql("hex_grid", "region", "select i as r, j as c, j + 0.5e0 * (i % 2) as x, round(i * sqrt(0.75e0), 6) as y from (select explode(sequence(0, 19)) as i) a lateral view explode(sequence(0, 19)) b as j", "select i as r, j as c, j + 0.5e0 * (i % 2) as x, round(i * sqrt(0.75e0), 6) as y from range(0, 20) a(i), range(0, 20) b(j)")
     hier = "with h as (select r_name as source, n_name as patient, c_custkey as slide, o_totalprice as v from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
     four = "orders customer nation region"
     c.sql("balanced_mean_3level", four, hier + ", a as (select source, patient, slide, avg(v) as v from h group by source, patient, slide), b as (select source, patient, avg(v) as v from a group by source, patient), d as (select source, avg(v) as v from b group by source) select round(avg(v), 4) as balanced, count(*) as sources from d")
