@@ -7,6 +7,7 @@ and offline runs name one that reads fixtures. The mappers take a frame with the
 from __future__ import annotations
 
 import importlib
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +86,15 @@ def _parts(body: Column, tag: str) -> Column:
     return F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}[ >].*?</{tag}>"), F.lit(0))
 
 
+def _read(entity: str, sign: str, text: Column) -> Column:
+    return F.replace(text, F.lit(entity), F.lit(sign))
+
+
 def _plain(x: Column, tag: str) -> Column:
     """The texts of all <tag> elements, tags within them dropped, entities read."""
     bare = F.transform(_parts(x, tag), lambda t: F.trim(F.regexp_replace(t, "<[^>]+>", "")))
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        bare = F.transform(bare, lambda t, e=entity, s=sign: F.replace(t, F.lit(e), F.lit(s)))
+        bare = F.transform(bare, partial(_read, entity, sign))
     return bare
 
 
