@@ -90,3 +90,22 @@ def test_fits(spark):
     assert models.r_squared(models.grouped_ridge(rows, "fold", ["a", "b"], "y", 0.0), "y", "predicted") > 0.999999
     like = np.array([[1, 0.9, 0.1], [0.9, 1, 0.2], [0.1, 0.2, 1]])
     assert models.average_linkage(like, 0.5) == [0, 0, 1]
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    for name, body in (("a", b"one"), ("b", b"two")):
+        (tmp_path / name).write_bytes(body)
+    sha = hashlib.sha256(b"one").hexdigest()
+    manifest = spark.createDataFrame([("a", sha, 3), ("b", sha, 3), ("c", sha, 3)], "name string, sha256 string, bytes long")
+    assert {r["name"]: r["problem"] for r in feeds.checked(spark, str(tmp_path), manifest).collect()} == {"b": "checksum", "c": "missing"}
+
+
+def test_bootstrap_and_clusters(spark):
+    rows = [(0, b, f"g{g}", float(10 * g + 1)) for b in range(20) for g in range(5)]
+    (r,) = models.bootstrap_profiles(spark.createDataFrame(rows, "cls long, block long, gene string, n double"), "cls", "block", "gene", "n", 5).collect()
+    assert abs(r["median"] - 1) < 1e-9 and abs(r["q05"] - 1) < 1e-9  # equal blocks: every resample has the same profile
+    points = [(i, [float(i % 2) * 10, i * 0.01], 1.0) for i in range(40)]
+    found = {r["id"]: r["cluster"] for r in models.clusters(spark.createDataFrame(points, "id long, v array<double>, w double"), "v", "w", 2).collect()}
+    assert len({found[i] for i in range(0, 40, 2)}) == 1 and len({found[i] for i in range(1, 40, 2)}) == 1 and found[0] != found[1]
