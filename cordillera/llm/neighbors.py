@@ -4,15 +4,15 @@ Vectors are scaled to length one, so the largest cosine is the maximum inner pro
 components with 16 codewords, four bits. Codes and codebooks are those that minimise a loss in which the residual's part
 along the vector weighs `eta` times its other part, as only the former moves large inner products: codes by coordinate
 descent, codebooks by the normal equations of that loss, on a sample of at most `SAMPLE` vectors (by a hash of the id).
-Every vector is indexed. A scan adds up tables of two codes at once, and of each block its best `RERANK` are ranked by the
-exact cosine in double precision.
+Every vector is indexed. A scan adds up tables of two codes at once. Of each block its best `RERANK` are ranked by the exact
+cosine in double precision, and then every other vector whose table score, with a bound on its quantisation error, reaches
+the k-th exact score so far: none that belongs to the k best is left out, however many near copies share its codes.
 
 Base vectors are dealt in blocks of about `BLOCK` by a hash of the id; each block meets the queries as a stream, so a task
 holds one block and one batch of queries. The base is shuffled once, the queries once for each block.
 
 Defined cases: a vector that is null, zero or holds null or non-finite components, or whose length is not the most frequent
-one (the largest of several), takes no part; equal scores go to the smaller id, equal vectors at the edge of the rerank set
-too; rows that repeat an id count once (the smallest vector); an empty table gives no rows; extra columns are ignored.
+one (the largest of several), takes no part; equal scores go to the smaller id; rows that repeat an id count once (the smallest vector); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, BLOCK, RERANK, WIDTH, SWEEPS, ROUNDS, THRESHOLD = 4000, 16384, 128, 2, 3, 6, 0.2
+ROUNDING = np.float32(1e-5)  # of table scores in single precision
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -92,6 +93,10 @@ class Block:
         self.norms = np.sqrt((self.v * self.v).sum(1))
         unit = _padded(self.v / self.norms[:, None]).astype(np.float32)
         codes = encode(unit.reshape(len(ids), -1, WIDTH), books, eta)
+        made = books[np.arange(codes.shape[1])[None, :], codes].reshape(len(ids), -1)
+        # a vector x of length one, quantised to y: y . x, and the length of y - (y . x) x, for the bound in `search`
+        along = np.einsum("nd,nd->n", made, unit, dtype=float)
+        self.along, self.across = along.astype(np.float32), np.sqrt(np.maximum(((made - along[:, None] * unit) ** 2).sum(1), 0)).astype(np.float32)
         if codes.shape[1] % 2:
             codes = np.hstack([codes, np.zeros((len(codes), 1), codes.dtype)])
         self.bytes = np.ascontiguousarray((codes[:, 0::2] * 16 + codes[:, 1::2]).astype(np.uint8).T)
@@ -108,13 +113,25 @@ class Block:
         for t, b in zip(pairs[1:], self.bytes[1:]):
             score += t[b]
         score[self.ids == own] = -np.inf
-        if len(score) > RERANK:
-            edge = np.partition(score, len(score) - RERANK)[len(score) - RERANK]
-            above = np.flatnonzero(score > edge)
-            at = np.concatenate([above, np.flatnonzero(score == edge)[: RERANK - len(above)]])
+        first = max(RERANK, k)
+        if len(score) > first:
+            at = np.argpartition(score, len(score) - first)[len(score) - first :]
         else:
             at = np.arange(len(score))
-        at = at[self.ids[at] != own]
+        ids, exact = self._best(at[self.ids[at] != own], q, norm, k)
+        if len(score) > first:
+            # with c the cosine of q and x, the table score q . y is y . x * c + q . (y - (y . x) x), the latter at least
+            # -across * sqrt(1 - c * c); so a c that reaches the k-th one needs at least this score
+            least = exact[-1] if len(exact) == k else -1.0
+            need = self.along * np.float32(least) - self.across * np.float32(np.sqrt(max(1 - least * least, 0.0)) if least > 0 else 1.0)
+            more = (score >= need - ROUNDING) | (self.along <= 0)
+            more[at] = False
+            more[self.ids == own] = False
+            if more.any():
+                ids, exact = self._best(np.concatenate([np.searchsorted(self.ids, ids), np.flatnonzero(more)]), q, norm, k)
+        return ids, exact
+
+    def _best(self, at: np.ndarray, q: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         exact = (self.v[at] * q).sum(1) / (self.norms[at] * norm)
         best = np.lexsort((self.ids[at], -exact))[:k]
         return self.ids[at][best], exact[best]

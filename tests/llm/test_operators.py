@@ -252,6 +252,22 @@ def test_neighbors(spark):
     assert neighbors.search(base.limit(0), base.limit(0)).count() == 0
 
 
+def test_neighbors_of_near_copies():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(9000, 64))
+    v[1::3] = v[1] + rng.normal(0, 1e-3, (3000, 64))
+    ids = rng.permutation(9000) * 2
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    block = neighbors.Block(ids, v, *neighbors.fit(unit[:1000]))
+    for q in [*range(1, 240, 12), *range(0, 240, 12)]:
+        s = unit @ unit[q]
+        s[q] = -2
+        best, scores = block.search(int(ids[q]), v[q], 5)
+        assert best.tolist() == ids[np.lexsort((ids, -s))[:5]].tolist() and np.allclose(scores, np.sort(s)[:-6:-1])
+    few, many = (block.search(int(ids[1]), v[1], k)[0].tolist() for k in (5, 200))
+    assert len(many) == 200 and many[:5] == few
+
+
 def test_revisits(spark):
     records = spark.createDataFrame([(1, "http://A.com/x?utm_source=q", 1, True, "e1", {"date": "1", "content-type": "t"}), (2, "https://www.a.com/x/", 5, True, "e2", {"date": "5"}), (3, "a.com/x#f", 5, False, "e1", {"date": "9", "content-length": "0"}), (4, "a.com/x", 9, False, "W/e2", {}), (5, "a.com/y", 9, False, "e", None), (6, None, 9, False, None, None), (7, "a.com/x", 9, False, "e9", {})], "record_id long, url string, ts long, full boolean, etag string, headers map<string,string>")
     full = records.selectExpr("*", "cast(null as string) last_modified", "cast(null as string) digest", "'b' body")
