@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    """Of each group of documents linked at a similarity of 0.8 or more the one with the smallest id stays."""
+    kept = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

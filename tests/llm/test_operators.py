@@ -164,6 +164,23 @@ def test_mixing(docs, empty):
     assert mixing.repeated(docs).count() == sum(r["copies"] for r in rows)
 
 
+def test_pipeline_similarity(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k in range(4):
+        t = [f"w{k}x{i}" for i in range(50)]
+        changed = list(t)
+        changed[25] = "other"  # 5 of 46 shingles: 41 / 51
+        rows += [(10 * k, " ".join(t)), (10 * k + 1, " ".join(changed))]
+        apart = list(t)
+        apart[10], apart[30] = "this", "that"  # 10 of 46: 36 / 56
+        rows.append((10 * k + 2, " ".join(apart)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {10 * k + d for k in range(4) for d in (0, 2)}
+
+
 def test_fingerprints(docs, spark):
     found = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     texts = texts_of(docs)
