@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cordillera.llm import mixing, neardup, packing, secrets, toxicity
 from cordillera.llm._common import staged
@@ -14,9 +15,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8 or more the one with the smallest id stays."""
-    kept = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of documents linked at a similarity of 0.8 or more the one with the smallest id stays.
+
+    Each row is judged by its own text, also where rows repeat an id; of rows that repeat an id without a word one stays.
+    A row without an id is linked to none and stays."""
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = keyed.where("doc_id is not null").select(F.col("_row").alias("doc_id"), "text")
+    ids = keyed.where("doc_id is not null").select("_row", F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("first"))
+    found = neardup.near_duplicates(rows, percent=80).withColumnRenamed("doc_id", "_row").join(ids, "_row")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.col("first.doc_id"))
+    kept = found.groupBy(group[0].alias("linked"), group[1].alias("bare")).agg(F.min("first")["_row"].alias("_row")).select("_row")
+    stay = keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    return stay.union(keyed.where("doc_id is null").select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

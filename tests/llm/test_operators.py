@@ -181,6 +181,34 @@ def test_pipeline_similarity(spark):
     assert kept == {10 * k + d for k in range(4) for d in (0, 2)}
 
 
+def test_pipeline_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(6)]
+    edit = lambda t: " ".join(["edited", *t.split()[1:]])
+    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, edit(t)) for i, t in enumerate(base)]
+    rows += [(3, base[3]), (3, base[3]), (20, base[0]), (20, "another text under the id of a copy"), (21, "a text of its own here"), (21, base[1])]
+    rows += [(None, base[0]), (None, base[0]), (None, None), (None, "alone without an id"), (30, ""), (30, ""), (31, None), (32, ""), (40, edit(base[5])), (1, base[5])]
+    sets = [shingles(t or "") for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, (a, _) in enumerate(rows):
+            for j, (b, _) in enumerate(rows):
+                both = len(sets[i] & sets[j])
+                linked = a is not None and b is not None and both and 100 * both >= 80 * len(sets[i] | sets[j])
+                if linked or (a == b and a is not None and not sets[i] and not sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {}
+    for (a, _), k in zip(rows, label):
+        least[k] = a if k not in least else min(least[k], a)
+    docs = spark.createDataFrame([(a, t, k) for k, (a, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = collections.Counter((label[r["row"]], r["doc_id"]) for r in got.collect())
+    assert kept == collections.Counter(least.items())
+
+
 def test_fingerprints(docs, spark):
     found = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     texts = texts_of(docs)
