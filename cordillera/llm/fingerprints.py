@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._common import staged, text_of
 
-SAMPLES, WIDE, CODE_BITS = 32, 4, 16
+SAMPLES, WIDE, CODE_BITS = 64, 4, 16
 #: Code points of a part's texts, about.
 PART = 4_000_000
 

@@ -278,6 +278,14 @@ def test_automaton():
     assert {words[i]: int(d) for i, d in zip(met, distance)} == {"clown": 0, "clwn": 1, "cloown": 1, "clpwn": 1, "idiot": 0, "xidiot": 1, "clowmn": 1}
 
 
+def test_fingerprint_deviation(spark):
+    rows = [(i, " ".join([*(f"s{k}" for k in range(40)), *(f"d{i}x{k}" for k in range(20))])) for i in range(120)]  # 40 of 80 words
+    codes = {r["doc_id"]: (r["next_id"], r["codes"]) for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(c) == 64 for _, c in codes.values())
+    gap = [np.mean(np.array(c) == np.array(codes[n][1])) - 0.5 for n, c in codes.values()]
+    assert np.sqrt(np.mean(np.square(gap))) < 0.078
+
+
 def test_neighbors(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(600, 16))
