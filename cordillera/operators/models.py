@@ -108,13 +108,13 @@ def average_linkage(similarity: np.ndarray, least: float) -> list[int]:
 
 
 def pca_query(spark, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
     s = principal(e, "v", 3)
     return s.select("vec_id", *[F.round(F.col("scores")[i], 5).alias(f"pc{i + 1}") for i in range(3)])
 
 
 def clusters_query(spark, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"), (F.lit(1.0) + F.col("label")).alias("w"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.lit(1.0) + F.col("label")).alias("w"))
     return clusters(e, "v", "w", 6).select("vec_id", "cluster")
 
 

@@ -109,3 +109,20 @@ def test_bootstrap_and_clusters(spark):
     points = [(i, [float(i % 2) * 10, i * 0.01], 1.0) for i in range(40)]
     found = {r["id"]: r["cluster"] for r in models.clusters(spark.createDataFrame(points, "id long, v array<double>, w double"), "v", "w", 2).collect()}
     assert len({found[i] for i in range(0, 40, 2)}) == 1 and len({found[i] for i in range(1, 40, 2)}) == 1 and found[0] != found[1]
+
+
+def test_fits_on_whole_embeddings(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    x -= x.mean(0)
+    axes = np.linalg.eigh(x.T @ x / len(x))[1][:, ::-1][:, :3]
+    got = np.array([[r["pc1"], r["pc2"], r["pc3"]] for r in models.pca_query(spark, sf).orderBy("vec_id").collect()])
+    assert np.abs(np.abs(got) - np.abs(x @ axes)).max() < 1e-4
+    seen, fit = [], models.clusters
+
+    def spy(rows, vector, *rest):
+        seen.append(rows.selectExpr(f"min(size({vector})) as n").first()["n"])
+        return fit(rows, vector, *rest)
+
+    monkeypatch.setattr(models, "clusters", spy)
+    assert models.clusters_query(spark, sf).count() == len(x) and seen == [x.shape[1]]
