@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import hot_keys, salted_join
+from .storage import discard, staged
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
 
+def reached(edges: DataFrame, plain: int = 3) -> DataFrame:
+    """edges (a, b) -> (id, label) for every id on an edge: label is the smallest id that it can reach.
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (id), undirected edges (u, v) -> (id, component): the smallest id in reach. Smallest labels and shortcuts."""
-    both = _checkpointed(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v"))
-    state = nodes.select("id", F.col("id").alias("component"))
+    A round takes the smallest label of each id's neighbours. Stars are done in `plain` such rounds; from then on each also
+    takes the label of its label, so that long chains halve. Both joins split hubs and common labels. Every round is a
+    staged table. No edges: no rows. Self links and repeated edges change nothing.
+    """
+    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    hubs = hot_keys(both, ["b"])
+    state, rounds = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))), 0
     while True:
-        near = both.join(state.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        step = state.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
-        jump = state.select(F.col("id").alias("to"), F.col("component").alias("over"))
-        moved = _checkpointed(step.join(jump, "to").select("id", F.least("to", "over").alias("component"), (F.least("to", "over") != F.col("was")).alias("moved")))
-        state = moved.select("id", "component")
-        if not moved.where("moved").limit(1).count():
+        near = salted_join(both, state.select(F.col("id").alias("b"), "label"), ["b"], ["a"], hot=hubs).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step, rounds = state.join(near, "id").select("id", F.least("label", "near").alias("to"), F.col("label").alias("was")), rounds + 1
+        if rounds > plain:
+            step = staged(step)
+            jump = state.select(F.col("id").alias("to"), F.col("label").alias("over"))
+            step = salted_join(step, jump, ["to"], ["id"]).select("id", F.least("to", "over").alias("to"), "was")
+        seen = Observation()
+        moved = staged(step.observe(seen, F.max(F.col("to") != F.col("was")).alias("moved")).select("id", F.col("to").alias("label")))
+        discard(state)
+        state = moved
+        if not seen.get["moved"]:
+            discard(both)
             return state
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id), undirected edges (u, v) -> (id, component): the smallest id in reach."""
+    found = reached(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
 def front(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """nodes (id, core boolean): the core's boundary and what is one step from it, where the core's component has `least`
     members. id, part: core, front or peri."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_dir
+
 
 def add_new(batch: DataFrame, table: str, key: str, order: str) -> None:
     """Appends to the Parquet table the first row of each key that isn't there; running a batch again adds nothing."""
@@ -34,7 +34,7 @@ def windowed(stream: DataFrame, time: str, late: str = "1 day", size: str = "1 d
 
 def ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream, ingested twice: the second run adds nothing."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()) + f"/ingest-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    base = shared_dir(spark) + f"/ingest-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     for run in ("a", "b"):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
