@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import TOGETHER, hot_keys, salted_join, share_of
+from ..operators.storage import discard, shared_dir, staged
+
 #: The six bytes that separate words everywhere in this subpackage: space, and 0x09 to 0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,41 +20,6 @@ _POWER_BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_POWER_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made locally only where none is set (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cordillera-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there, so lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Frames that nothing refers to any more let go of their shuffle files now, not whenever the driver next collects."""
-    for _ in range(3):  # names leave the gateway in the background, and what they held a collection later
-        gc.collect()
-        time.sleep(1)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing will read again."""
-    jvm, sc = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("staged-"):
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone, a null text as an empty one; clashing extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

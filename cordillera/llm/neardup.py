@@ -4,15 +4,17 @@ A document's set of word shingles becomes `REGISTERS` compressed registers: for
 count of the smallest one and the mantissa bits after its leading one. A bucket without a shingle takes the smallest of
 hashes of its own, so short texts fill every register too. Four registers, 64 bits, are a band.
 
-Texts with equal sets form a class, of which the smallest id goes on alone. Classes that share a band are candidates;
-within a band they are compared with its most central member first, the one that shares the largest bands. Where that has
-joined all of a band, it is done, so a large group of copies costs a comparison for each member and not for each pair. What
-is still apart is compared pair by pair in small bands. Large ones are joined to clusters, of which blocks of members that
-aren't joined up yet meet each other and the rest. A candidate pair is weighed by its equal registers, less the collisions
-expected of such short registers, and what is left is confirmed on the full sets.
-
-Defined cases: a null or empty text has an empty set and no links; fewer words than a shingle's make one shingle; rows
-that repeat an id are one document, that of the smallest text; a null id is a document like others, but never linked.
+Texts with equal sets form a class, of which the smallest id goes on alone. Classes that share a band are candidates. Each
+one is first compared with the most central of its bands' members, the one that shares the largest bands, then with those
+leaders of its bands that it isn't joined to yet. So a large group of copies costs a comparison for each member and not for
+each pair. What is still apart in a band is compared pair by pair in small bands. Large ones are joined to clusters, of which
+blocks of members that aren't joined up yet meet each other and the rest. A candidate pair is weighed by its equal
+registers, less the collisions expected of such short registers, and what is left is confirmed on the full sets. Every join
+that a large band, class, hub or cluster could gather in one task deals its rows in shares.
+
+Defined cases: a null or empty text has an empty set and no links; fewer words than a shingle's make one shingle; a very long
+text is one set like others; equal ids of two rows make one document, that of the smallest set; a null id is a document like
+others, but never linked; of ties the smallest id counts; an empty table gives no rows; other columns are ignored.
 Two documents at a similarity of 0.85 share none of the 32 bands with a chance of about 6e-11.
 """
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ._common import WordHasher, arrow, chunks, frames, mix, staged, text_of
-from .graph import components
+from ..operators.graphs import reached
+from ._common import TOGETHER, WordHasher, arrow, chunks, discard, frames, hot_keys, mix, salted_join, share_of, staged, text_of
 
 REGISTERS, PER_BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // PER_BAND
@@ -114,11 +116,10 @@ def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((same - chance) / (1 - chance))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int, hot: DataFrame | None) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of the full sets of their texts.
 
-    Both joins deal documents by doc_id, so their one shuffle serves twice; a hot member's text joins partition by
-    partition and is never gathered.
+    An `a` of very many pairs, which are in `hot`, has its text copied to several shares of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,8 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     left = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    met = pairs.join(left, "b")
+    return salted_join(met, right, ["a"], ["b"], hot=hot).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -150,9 +152,10 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
     gives a spanning forest of its links, at most one for each member.
     """
     common = members.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", -F.col("label"))).alias("m"))
-    sided = members.join(common.select("cluster", (-F.col("m.col2")).alias("most")), "cluster").withColumn("main", F.col("label") == F.col("most"))
+    hot = hot_keys(members, ["cluster"])
+    sided = salted_join(members, common.select("cluster", (-F.col("m.col2")).alias("most")), ["cluster"], ["id"], hot=hot).withColumn("main", F.col("label") == F.col("most"))
     totals = sided.groupBy("cluster").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / MEMBERS), F.ceil(F.coalesce(F.sum(F.when(c, F.col("n_shingles"))), F.lit(0)) / SHINGLES)).cast("int").alias(n) for n, c in (("mains", F.col("main")), ("others", ~F.col("main")))])
-    placed = sided.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")), F.lit(1))).cast("int"))
+    placed = salted_join(sided, totals, ["cluster"], ["id"], hot=hot).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")), F.lit(1))).cast("int"))
     others = F.sequence(F.lit(0), F.col("others") - 1)
     with_main = F.transform(F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.col("block").alias("i"), (-k - 1).alias("j")))
     meets = F.when(F.col("main"), F.transform(others, lambda i: F.struct(i.alias("i"), (-F.col("block") - 1).alias("j")))).otherwise(F.concat(F.transform(others, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))), with_main))
@@ -190,47 +193,61 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     texts = text_of(docs)
     signed = staged(signatures(texts, size))
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "class", "registers")).alias("s")).select("doc_id", "s.*")
-    found = one.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s"))
-    found = staged(found.select("class", "s.*"))  # a row for each class: the smallest id stands for it
-    size_of = found.select(F.col("doc_id").alias("id"), "n_shingles", "registers")
+    one = staged(signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "class", "registers")).alias("s")).select("doc_id", "s.*"))
+    some = one.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
+    found = staged(some.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select("class", "s.*"))
+    size_of = found.select(F.col("doc_id").alias("id"), "n_shingles", "registers")  # a row for each class: its smallest id
     each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.cast("byte").alias("band"), F.substr("registers", i * 8 + 1, F.lit(8)).alias("key")))
     bands = found.select(F.col("doc_id").alias("id"), F.explode(each).alias("x")).select("id", "x.band", "x.key")
     counted = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(bands.join(counted, ["band", "key"]))  # members of bands with more than one
+    # members of bands with more than one; a large band's are dealt in shares from here on
+    shares = lambda: F.ceil(F.col("n") / TOGETHER).cast("int")
+    shared = staged(salted_join(bands, counted, ["band", "key"], ["id"]).withColumn("share", share_of(["id"], shares())))
+    on = ["band", "key", "share"]
+    spread = lambda table: table.withColumn("share", F.explode(F.sequence(F.lit(0), shares() - 1))).drop("n")
     # of a large group of edited copies, the one nearest to what they were made from shares the largest bands
     central = shared.groupBy("id").agg(F.sum("n").alias("met"))
-    ranked = shared.join(central, "id").select("band", "key", "id", "n", F.struct(-F.col("met"), "id").alias("rank"))
-    leaders = ranked.groupBy("band", "key").agg(F.min("rank")["id"].alias("a"))
+    ranked = shared.join(central, "id").withColumn("rank", F.struct((-F.col("met")).alias("met"), F.col("id").alias("a")))
+    leaders = staged(ranked.groupBy("band", "key").agg(F.min("rank").alias("rank"), F.max("n").alias("n")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) that are links. Only an `a`, a leader, can have many: an id has BANDS bands."""
+        pairs = staged(pairs)
+        hot = hot_keys(pairs, ["a"])
         sides = [size_of.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab"]
-        weighed = pairs.join(sides[1], "b").join(sides[0], "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        weighed = salted_join(pairs.join(sides[1], "b"), sides[0], ["a"], ["b"], hot=hot).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         likely = staged(weighed.where(estimate("ra", "rb") >= percent / 100 - SLACK).select("a", "b"))
         ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return staged(similar(likely, narrowed(texts, ids), size, percent))
-
-    links = confirm(shared.join(leaders, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    labels = components(links)
-    members = shared.join(labels, "id", "left").select("id", "band", "key", "n", F.coalesce("label", "id").alias("label"))
-    spread = members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
-    left = staged(members.join(spread, ["band", "key"]))  # bands whose members are still apart
-    x, y = (left.where(F.col("n") <= SMALL).select("band", "key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-    few = x.join(y, ["band", "key"]).where("a < b and la <> lb").select("a", "b").distinct()
-    large = left.where(F.col("n") > SMALL)
-    hubs = large.groupBy("band", "key").agg(F.min("id").alias("a"))
-    clusters = components(large.join(hubs, ["band", "key"]).select("a", F.col("id").alias("b")).distinct())
-    crowd = large.select("id", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "id").join(size_of.drop("registers"), "id")
-    more = staged(confirm(few).union(block_links(staged(crowd), texts, size, percent)))
-    if more.limit(1).count():
-        labels = components(links.union(more))
+        return staged(similar(likely, narrowed(texts, ids), size, percent, hot))
+
+    led = shared.join(spread(leaders), on).where(F.col("id") != F.col("rank.a"))
+    links = confirm(led.groupBy("id").agg(F.min("rank")["a"].alias("a")).select("a", F.col("id").alias("b")))
+    labels = reached(links)
+    labelled = lambda: staged(shared.join(labels, "id", "left").select("id", "band", "key", "n", "share", F.coalesce("label", "id").alias("label")))
+    apart = lambda rows: rows.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n")).where("lo <> hi").select("band", "key", "n")
+    members = labelled()
+    still = members.join(spread(apart(members)), on)  # bands whose members are apart
+    x, y = (still.where(F.col("n") <= SMALL).select("band", "key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    few = x.join(y, ["band", "key"]).where("a < b and la <> lb").select("a", "b")
+    led = still.where(F.col("n") > SMALL).join(spread(leaders), on).select(F.col("rank.a").alias("a"), F.col("id").alias("b")).where("a <> b")
+    links = staged(links.union(confirm(few.union(led).distinct().join(links, ["a", "b"], "left_anti"))))
+    labels = reached(links)
+    members = labelled()
+    large = staged(members.where(F.col("n") > SMALL).join(spread(apart(members)), on))
+    if large.limit(1).count():
+        hubs = large.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("n").alias("n"))
+        clusters = reached(large.join(spread(hubs), on).select("a", F.col("id").alias("b")).distinct())
+        crowd = large.select("id", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "id").join(size_of.drop("registers"), "id")
+        labels = reached(links.union(block_links(staged(crowd), texts, size, percent)))
     reps = found.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("class", F.coalesce("label", "doc_id").alias("component_id"))
-    return one.join(reps, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    linked = salted_join(some, reps, ["class"], ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    alone = one.where(F.col("class").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def near_duplicates_query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

@@ -94,7 +94,7 @@ def brute_components(texts):
 
 def test_near_duplicates(docs, empty):
     sets, label = brute_components(texts_of(docs))
-    found = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    found = {r["doc_id"]: r for r in neardup.near_duplicates(docs, percent=85).collect()}
     assert {i: r["component_id"] for i, r in found.items()} == label
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (label[i] == i) for i, r in found.items())
     assert neardup.near_duplicates(empty).count() == 0
@@ -111,7 +111,7 @@ def test_large_band(spark):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     _, label = brute_components(dict(rows))
-    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == label
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85).collect()} == label
 
 
 def test_registers():
