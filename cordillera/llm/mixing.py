@@ -8,12 +8,16 @@ at once, as sums over a table of (source, size, documents): documents of one sou
 iterations read that table and never the documents. A bracket holds each step.
 
 Rates become whole copies by systematic rounding over sizes, largest first, and a few single copies then move to bring
-each source's words nearer its target. Documents of one source and size share the copies evenly, in the order of a hash,
-numbered within blocks of about `BLOCK` rows, so no source and no group of equal texts is gathered in one task.
+each source's words nearer its target. Documents of one source and size share the copies evenly, in the order of a hash of
+id and text. Rows with one hash are counted for each input partition first; these counts are numbered within blocks of about
+`BLOCK` hashes, and rows within their count. So no source and no group of equal rows is gathered in one task.
 
-Defined cases: a null or empty text has size 0, takes 0 words and keeps one copy of itself; a null source is a source,
-the last; rows that repeat are documents of their own; an empty table gives no rows; other columns are kept by `mix`.
-Windows without a hash key run over one row for each source, or for each source's distinct sizes.
+Texts are read once, for their sizes; a row's number joins its copies back to it.
+
+Defined cases: a null or empty text has size 0, takes 0 words and keeps one copy of itself; a very long one counts whole; a
+null source is a source, the last; rows that repeat are documents of their own, and it's all the same which of equal rows has
+a copy more; an empty table gives no rows. `mix` keeps other columns, but for those named as its own results, which it
+replaces; `repeated` keeps all. Windows without a hash key run over one row for each source, or each source's distinct sizes.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, staged
+from ._common import WORD, discard, salted_join, staged
 
 MOST, BLOCK, STEPS, MOVES = 3, 500, 60, 4
 
@@ -58,17 +62,22 @@ def multipliers(table: DataFrame, sources: DataFrame) -> DataFrame:
         inside = F.when(F.col("lo").isNull() | F.col("hi").isNull(), F.col("multiplier") + F.greatest(F.least(newton - F.col("multiplier"), F.abs(wide)), -F.abs(wide)))
         inside = inside.otherwise(F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2))
         still = (F.abs("gap") > 1e-9 * F.greatest("target", F.lit(1.0))) & (F.col("target") > 0) & (F.col("target") < MOST * F.col("source_size") * (1 - 1e-12))
-        state = staged(s.select("source_key", "source_size", "mean", "target", F.when(still, inside).otherwise(F.col("multiplier")).alias("multiplier"), "lo", "hi", (~still).alias("done")))
+        last, state = state, staged(s.select("source_key", "source_size", "mean", "target", F.when(still, inside).otherwise(F.col("multiplier")).alias("multiplier"), "lo", "hi", (~still).alias("done")))
+        discard(last)
         if state.where("not done").limit(1).count() == 0:
             break
     return state
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target, rate, copies and taken = copies * size."""
+RESULTS = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def _mixed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (the columns in keep), and RESULTS."""
     key = F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(F.col("source"), F.lit("")))
-    docs = docs.drop("size", "source_key", "source_size", "target", "rate", "copies", "taken", "block", "place", "mean", "n", "total", "order", "blocks")
-    sized = docs.select("*", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("source_key"), F.xxhash64("doc_id", "text").alias("order"))
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    every = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("id"), size.alias("size"), key.alias("source_key"), F.xxhash64("doc_id", "text").alias("order")))
+    sized = every.select("id", "size", "source_key", "order", F.shiftright("id", 33).alias("part"))
     table = staged(sized.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = table.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("documents"))
     mean = sources.select("source_key", F.greatest(F.col("source_size") / F.col("documents"), F.lit(1e-9)).alias("mean"))
@@ -85,24 +94,36 @@ def mix(docs: DataFrame) -> DataFrame:
         best = offers.where("step is not null").groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("step") * F.col("size")).alias("rest"), "size", "step", F.abs("gap").alias("was"))).alias("m")).where("m.rest < m.was")
         plan = staged(plan.join(best, "source_key", "left").withColumn("total", F.col("total") + F.when(F.col("m.size") == F.col("size"), F.col("m.step")).otherwise(F.lit(0))).drop("m"))
     parts = plan.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    parts = parts.select("source_key", "size", "blocks", "n", "total", "rate", "source_size", "target")
+    cell = ["source_key", "size", "order", "part"]
+    cells = staged(sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("c")))
+    block = F.pmod(F.col("order"), F.col("blocks")).alias("block")
+    blocked = staged(salted_join(cells, parts.select("source_key", "size", "blocks"), ["source_key", "size"], ["order", "part"]).select(*cell, "c", block))
     keys = ["source_key", "size", "block"]
-    # dealt by block: else the join's dealing by (source, size) would serve, and equal documents would meet in one task
-    blocked = sized.join(parts, ["source_key", "size"]).withColumn("block", F.pmod(F.col("order"), F.col("blocks"))).repartition(*keys)
     before = Window.partitionBy("source_key", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("here"))
-    counts = counts.select(*keys, F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "doc_id"))
-    placed = blocked.withColumn("place", place).join(counts, keys).withColumn("place", F.col("place") + F.col("earlier"))
-    each = F.floor(F.col("total") / F.col("n")) + F.when(F.col("place") <= F.col("total") % F.col("n"), 1).otherwise(0)
-    return placed.withColumn("copies", each.cast("long")).select(*docs.columns, "size", "source_size", "target", "rate", "copies", (F.col("size") * each).cast("long").alias("taken"))
+    counts = blocked.groupBy(*keys).agg(F.sum("c").alias("here")).select(*keys, F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(*keys).orderBy("order", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # a count for each hash and input partition: equal rows are as many rows here as there are partitions
+    starts = blocked.withColumn("start", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(counts, keys).select(*cell, (F.col("start") + F.col("earlier")).alias("start"))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("id"))
+    placed = staged(sized.withColumn("place", place).join(starts, cell).select("id", "source_key", "size", (F.col("place") + F.col("start")).alias("place")))
+    rest = parts.select("source_key", "size", "n", "total", "rate", "source_size", "target")
+    each = (F.floor(F.col("total") / F.col("n")) + F.when(F.col("place") <= F.col("total") % F.col("n"), 1).otherwise(0)).cast("long")
+    done = salted_join(placed, rest, ["source_key", "size"], ["id"]).select("id", "source_size", "target", "rate", each.alias("copies"))
+    return every.select("row", "id", "size").join(done, "id").select("row", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns in keep, with size, source_size, target, rate, copies and taken = copies * size."""
+    names = [c for c in keep or docs.columns if c not in RESULTS]
+    return _mixed(docs, names).select(*[F.col("row")[c].alias(c) for c in names], *RESULTS)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Every document as often as the mix takes it, with the columns of docs."""
-    return mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    times = _mixed(docs, docs.columns).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return times.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")

@@ -5,13 +5,15 @@ the partition totals, a row for each partition, are summed up to offsets. In the
 its partition's offset plus what stands before it there, so each document is cut at the multiples of the window by
 itself: a piece is a boundary record of one document in one window. No text or token is shuffled.
 
-Defined cases: a null or empty text has the end id alone; rows that repeat are packed as often as they occur; an empty
-table gives no pieces; other columns are ignored. Only the last sequence can need padding.
+Defined cases: a null or empty text has the end id alone; a very long text is encoded whole, and spans many windows; rows that
+repeat, and null ids, are packed as often as they occur; an empty table gives no pieces; other columns are ignored. Only the
+last sequence can need padding.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 from ._common import staged, text_of
 
 _ENCODERS: dict = {}
+#: Runs that the faster library's pattern can't be trusted with: on white space without end it runs out of stack.
+_LONG = re.compile(r"\s{10000}|\S{10000}")
 
 
 def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     """text -> ids as numpy array. With ranks_path, the same vocabulary by a faster library; texts that hold the name of
-    a special token go to the first one, which reads it as one id."""
+    a special token, which is one id, or a very long run of white space or of other characters go to the first one."""
     key = (json_path, ranks_path)
     if key not in _ENCODERS:
         from tokenizers import Tokenizer
@@ -41,7 +45,7 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[key] = lambda text: plain(text) if any(n in text for n in names) else np.array(fast.encode_ordinary(text), np.uint32)
+            _ENCODERS[key] = lambda text: plain(text) if any(n in text for n in names) or _LONG.search(text) else np.array(fast.encode_ordinary(text), np.uint32)
         else:
             _ENCODERS[key] = plain
     return _ENCODERS[key]

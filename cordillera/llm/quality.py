@@ -3,10 +3,11 @@
 A document is a bag of passages of `PASSAGE` words. Each passage is encoded: shares of byte classes, word lengths and
 repetition go through a learned layer. Gated attention (tanh times sigmoid, then a softmax over the bag) gives every passage
 a weight, learned from document labels alone, and the weighted sum of the encodings is scored. The model is fitted on the
-driver, on at most `ROWS` labelled documents outside the held-out fifth, of each at most `BAG` evenly spaced passages; a
-document is scored on all its passages, a slice of a batch at a time.
+driver, on all passages of at most `ROWS` labelled documents outside the held-out fifth; a document is scored on all its
+passages, a slice of a batch at a time.
 
-Defined cases: a null or empty text is a bag of one passage of zeros; a text without spaces is one passage; rows that
+Defined cases: a null or empty text is a bag of one passage of zeros; a text without spaces is one passage, a very long one
+a bag of many; rows that
 repeat are scored each; without labelled rows or with one class alone, the score is that class's share, 0.5 without any; a
 null doc_id counts as not held out; an empty table gives no rows; extra columns are ignored.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._common import WordHasher, chunks, frames, held_out, labelled_sample, mix, text_of
 
-ROWS, BAG, PASSAGE = 4000, 64, 64
+ROWS, PASSAGE = 4000, 64
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 128, 0.01, 1e-4
 
 
@@ -147,12 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
             bags = []
             for a, b in chunks(raw):
                 x, first = encode(raw[a:b])
-                for lo, hi in zip(first[:-1], first[1:]):
-                    own = np.arange(lo, hi) if hi - lo <= BAG else np.linspace(lo, hi - 1, BAG).astype(int)
-                    bags.append(x[own].tobytes())
+                bags += [x[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "bag": bags})
 
-    table = labelled_sample(docs, labels, label, ROWS).mapInPandas(rows, "doc_id long, label int, bag binary").toPandas()  # ROWS * BAG passages at most
+    table = labelled_sample(docs, labels, label, ROWS).mapInPandas(rows, "doc_id long, label int, bag binary").toPandas()  # ROWS bags at most
     table = table.sort_values(["doc_id", "bag"])
     y = table["label"].to_numpy(float)
     if len(set(y)) < 2:

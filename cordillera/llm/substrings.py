@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow, chunks, discard, frames, mix, release, staged, text_of
+from ._common import arrow, chunks, discard, frames, mix, staged, text_of
 from .suffixes import common_prefix_at_least, suffix_array
 
 LENGTH, GRAM, BATCH, SHARD = 50, 16, 4_000_000, 8_000_000
@@ -261,9 +261,7 @@ def _windows(strings: DataFrame) -> DataFrame:
 def repeated_runs(table: DataFrame, shards: int) -> DataFrame:
     """(row, runs): of each batched row that loses bytes, an array of (start, end)."""
     cut = staged(_cut(table, _repeated(table, shards), shards))
-    release(table.sparkSession)
     windows = staged(_windows(cut.where("kind = 1").select("shard", "packed")))
-    release(table.sparkSession)
     met = cut.where("kind = 0").select("row", "doc_id", F.explode(F.arrays_zip("sids", "starts")).alias("x")).select("row", "doc_id", F.col("x.sids").alias("sid"), F.col("x.starts").alias("start"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +277,6 @@ def repeated_runs(table: DataFrame, shards: int) -> DataFrame:
     runs = staged(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
     discard(cut)
     discard(windows)
-    release(table.sparkSession)
     return runs
 
 

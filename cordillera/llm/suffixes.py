@@ -1,4 +1,9 @@
-"""Suffix arrays by induced sorting, in whole-array steps, and bounded permuted common prefixes."""
+"""Suffix arrays by induced sorting, and bounded permuted common prefixes.
+
+Induction goes through the buckets letter by letter in whole-array steps. Where letters occur too seldom for that, as in the
+names of a recursion, the runs of larger (then of smaller) suffixes are short, and radix passes over them induce all at once;
+with a long run it goes suffix by suffix. All three give the same order in linear time.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,8 @@ import numpy as np
 
 from ._common import mix
 
-#: A recursive alphabet larger than this is ranked by doubling; induction goes letter by letter.
-ALPHABET = 2048
+#: Occurrences a letter from which whole-array steps pay, and the mean rest of a run up to which radix passes do.
+OFTEN, RUN = 200, 8
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -78,18 +83,71 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -
     return sa
 
 
-def _doubled(rank: np.ndarray) -> np.ndarray:
-    n, h = len(rank), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-h or n] = rank[h:] + 1 if h < n else 0
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        rank, h = fresh, 2 * h
-        if rank.max() == n - 1 or h >= n:
-            return np.argsort(rank, kind="stable")
+def _induce_each(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
+    """As _induce, one suffix after another."""
+    n = len(s)
+    ends = np.cumsum(np.bincount(s, minlength=letters))
+    heads, tails = (ends - np.bincount(s, minlength=letters)).tolist(), ends.tolist()
+    # the letter before each suffix if the suffix there is a larger (smaller) one, else -1; a free place, -1, has none either
+    larger, smaller = (np.append(np.append(-1, np.where(small[:-1] == kind, s[:-1], -1)), -1).tolist() for kind in (False, True))
+    sa = [-1] * n
+    for c, i in zip(s[seeds[::-1]].tolist(), seeds[::-1].tolist()):
+        tails[c] = at = tails[c] - 1
+        sa[at] = i
+    if not small[n - 1]:
+        sa[heads[int(s[n - 1])]] = n - 1
+        heads[int(s[n - 1])] += 1
+    for p in sa:  # places ahead of it fill up as it goes
+        c = larger[p]
+        if c >= 0:
+            at = heads[c]
+            sa[at] = p - 1
+            heads[c] = at + 1
+    tails = ends.tolist()
+    for p in reversed(sa):
+        c = smaller[p]
+        if c >= 0:
+            tails[c] = at = tails[c] - 1
+            sa[at] = p - 1
+    return np.array(sa, np.int32)
+
+
+def _radix(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """order, stably sorted by key (one value from 0 to 2**32 - 1 for each of its places)."""
+    by = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+    if key.max(initial=0) > 0xFFFF:
+        by = by[np.argsort((key[by] >> 16).astype(np.uint16), kind="stable")]
+    return order[by]
+
+
+def _induce_runs(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
+    """As _induce: a larger suffix is told by the letters of its run of larger ones and the seed that ends the run, a smaller
+    one by those of its run and the larger suffix there. Long runs: suffix by suffix."""
+    n = len(s)
+    change = np.append(np.flatnonzero(small[1:] != small[:-1]) + 1, n)
+    stop = np.repeat(change, np.diff(change, prepend=0)).astype(np.int64)
+    longest = int(np.diff(change, prepend=0).max())
+    if (stop - np.arange(n)).sum() > RUN * n:
+        return _induce_each(s, small, seeds, letters)
+    symbol = np.append(2 * s.astype(np.int64) + small + 1, 0)  # of one letter, larger suffixes come before smaller ones
+    rank = np.zeros(n + 1, np.int64)
+    rank[seeds] = np.arange(1, len(seeds) + 1)
+    parts = []
+    for kind in (False, True):
+        every = np.flatnonzero(small == kind)
+        every = _radix(every, rank[stop[every]])
+        length = stop[every] - every
+        every, length = _radix(every, length), np.sort(length)
+        edge = np.searchsorted(length, np.arange(longest + 2))
+        at = every[:0]
+        for t in range(longest, 0, -1):  # those with a run of t, which come before longer ones so far, join in
+            at = np.concatenate([every[edge[t] : edge[t + 1]], at])
+            at = _radix(at, symbol[at + t])
+        at = _radix(at, symbol[at])
+        rank[at] = np.arange(1, len(at) + 1)
+        parts.append(at)
+    every = np.concatenate(parts)
+    return _radix(every, symbol[every]).astype(np.int32)
 
 
 def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
@@ -103,13 +161,12 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         rank[used] = np.arange(len(used))
         s, letters = rank[s], len(used)
     s = s.astype(np.int16 if letters < 1 << 15 else np.int64)  # 16-bit letters are dealt by a radix sort
-    if letters > ALPHABET:
-        return _doubled(s.astype(np.int64))
+    induce = _induce if n >= OFTEN * letters else _induce_runs
     small = _types(s)
     left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(left):
-        return _induce(s, small, left, letters)
-    sorted_left = _induce(s, small, left, letters)
+        return induce(s, small, left, letters)
+    sorted_left = induce(s, small, left, letters)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     sorted_left = sorted_left[is_left[sorted_left]]
@@ -134,7 +191,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     reduced = name[left]
     names = int(reduced.max()) + 1
     order = left[np.argsort(reduced)] if names == len(left) else left[suffix_array(reduced, names)]
-    return _induce(s, small, order, letters)
+    return induce(s, small, order, letters)
 
 
 def common_prefix_at_least(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:

@@ -8,9 +8,13 @@ headers are joined by record at the end.
 A match holds if the validators agree: entity tags if both have one (weakly compared), else the last-modified times, else
 the payload digests. Of the revisit's headers, those that a not-modified answer may update replace the response's.
 
+Revisits of one response are dealt in shares, and those without one by their own ids.
+
 Defined cases: a null URL or time matches nothing; among responses of one time the largest record id counts, and a response
-of the revisit's own time isn't earlier; rows that repeat a record id should not occur in `records` and give repeated rows;
-an empty table gives no rows; a revisit without validators on either side is `unverified`.
+of the revisit's own time isn't earlier; of rows that repeat a record id as revisits, or as responses, the one with the least
+hash of its URL, time and validators counts; header names are compared without regard to case, and of a revisit's own
+repeated names the last one counts; a revisit without validators on either side is `unverified`; a null or empty body is
+passed on as it is, a very long one is never split; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import hot_keys, salted_join, staged
+
 #: Names of the headers that a not-modified answer updates.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)"
@@ -48,16 +54,26 @@ def as_of(records: DataFrame, span: int) -> DataFrame:
 def resolve(records: DataFrame, span: int = 1 << 16) -> DataFrame:
     """records: record_id, url, ts (long), full (boolean), etag, last_modified, digest, headers (map), body -> a row for each
     revisit: record_id, url_key, found, status, headers, body (null unless the validators agree)."""
-    keyed = records.withColumn("url_key", canonical(F.col("url")))
-    matched = as_of(keyed, span)
-    asked = keyed.where("not full").select("record_id", "url_key", *[F.col(c).alias(f"r_{c}") for c in ("etag", "last_modified", "digest", "headers")])
-    stored = keyed.where("full").select(F.col("record_id").alias("found"), "etag", "last_modified", "digest", "headers", "body")
-    both = asked.join(matched, "record_id", "left").join(stored, "found", "left")
+    validators = ("etag", "last_modified", "digest")
+    keyed = records.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", "full", *validators, "headers", "body").where("record_id is not null")
+    order = F.xxhash64("url_key", "ts", *validators)
+    if keyed.groupBy("record_id", "full").count().where("count > 1").limit(1).count():
+        keyed = staged(keyed.groupBy("record_id", "full").agg(F.min_by(F.struct(*[c for c in keyed.columns if c not in ("record_id", "full")]), order).alias("r")).select("record_id", "full", "r.*"))
+    matched = staged(as_of(keyed, span))
+    asked = keyed.where("not full").select("record_id", "url_key", *[F.col(c).alias(f"r_{c}") for c in (*validators, "headers")])
+    stored = keyed.where("full").select(F.col("record_id").alias("found"), *validators, "headers", "body")
+    hot = hot_keys(matched, ["found"])
+    both = salted_join(asked.join(matched.where("found is not null"), "record_id"), stored, ["found"], ["record_id"], "left", hot)
+    lost = asked.join(matched.where("found is not null"), "record_id", "left_anti")
+    both = both.unionByName(lost, allowMissingColumns=True)
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     agree = F.coalesce(weak(F.col("etag")) == weak(F.col("r_etag")), F.col("last_modified") == F.col("r_last_modified"), F.col("digest") == F.col("r_digest"))
     status = F.when(F.col("found").isNull(), "missing").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("changed")
-    allowed = F.map_filter(F.coalesce("r_headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED))
-    kept = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
+    none = F.create_map().cast("map<string,string>")
+    named = F.filter(F.map_entries(F.coalesce("r_headers", none)), lambda e: F.lower(e["key"]).isin(*PERMITTED))
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: F.lower(x["key"]) == F.lower(e["key"])))
+    allowed = F.map_from_entries(last)
+    kept = F.map_filter(F.coalesce("headers", none), lambda k, v: ~F.exists(last, lambda e: F.lower(e["key"]) == F.lower(k)))
     merged = F.map_concat(kept, allowed)
     done = both.withColumn("status", status)
     return done.select("record_id", "url_key", "found", "status", *[F.when(F.col("status") == "resolved", x).alias(n) for n, x in (("headers", merged), ("body", F.col("body")))])
