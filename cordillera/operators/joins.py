@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import staged
+
 #: Rows of one key that stay together, and keys of which the shares are told by a broadcast table.
 TOGETHER, HOT = 1000, 4096
 
@@ -14,8 +16,7 @@ def hot_keys(table: DataFrame, on: list[str]) -> DataFrame | None:
     has less than 1/HOT of all rows. None where there is no such key. Counts combine before their shuffle."""
     counts = table.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TOGETHER).na.drop(subset=on)
     rows = counts.orderBy(F.desc("_n"), *on).limit(HOT).select(*on, F.ceil(F.col("_n") / TOGETHER).cast("int").alias("_shares"))
-    found = rows.collect()  # HOT rows at most
-    return table.sparkSession.createDataFrame(found, rows.schema) if found else None
+    return staged(rows) if rows.limit(1).count() else None
 
 
 def share_of(by: list[str], shares: Column) -> Column:
