@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cordillera.llm import fingerprints, mixing, neardup, neighbors, packing, quality, registry, secrets, substrings, suffixes, toxicity, warc
 
@@ -124,7 +125,8 @@ def test_secrets(spark, empty):
     key = "AKIA" + "ABCDEFGHIJKLMNOP"
     rows = [(0, None), (1, ""), (2, f'é Password = "abc.def1" {key} {"0a" * 13}'), (3, "token: short secret=token: abcdefgh"), (4, "run 8fK2mQz7Lx9RtY4wBv3N here, get_user_name_of_table_1"), (5, "4111111111111111")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    prose = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs.union(prose)).collect()}
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for i, t in rows:
         t = t or ""
@@ -134,10 +136,50 @@ def test_secrets(spark, empty):
         assert sorted(base) == sorted(tuple(s) for s in found[i] if s["kind"] != "markov")
     assert [s["kind"] for s in found[4]] == ["markov"] and found[5] == []
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    sample = secrets.labelled(prose)
+    table = secrets.markov_table(sample)
+    told = sample.where("held_out and length(s) >= 16").selectExpr("label", f"{secrets.likely('s', table)} as flagged").groupBy("label").agg(F.avg(F.col("flagged").cast("int")).alias("share"))
+    share = {r["label"]: r["share"] for r in told.collect()}
+    assert share[1] > 0.95 and share[0] < 0.01
     assert clean[2] == "é [SECRET]\" [SECRET] [SECRET]" and clean[0] is None and clean[5] == rows[5][1]
     assert secrets.scan(empty).count() == 0
 
 
+def long_texts():
+    rng = random.Random(2)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(400_000))
+    return [" " * 1_000_000, "\n" * 1_000_000, "a" * 400_000, blob, "\n".join(blob[i : i + 76] for i in range(0, len(blob), 76)), "token=abcdefgh1 é " * 20_000, ("0a" * 13 + " ") * 20_000]
+
+
+def test_secrets_in_long_texts(spark):
+    rows = list(enumerate(long_texts()))
+    found = {r["doc_id"]: r for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        out, at = [], 0
+        for s in spans[i]:
+            if s["start"] >= at:
+                out += [t[at : s["start"]], "[SECRET]"]
+            at = max(at, s["end"])
+        assert found[i]["text"] == "".join(out) + t[at:]
+    assert len(spans[5]) == 20_000 and [tuple(s) for s in spans[5][:2]] == [(0, 15, "assign"), (18, 33, "assign")]
+    assert len(spans[6]) == 20_000 and not spans[0] and [tuple(s) for s in spans[2]] == [(0, 400_000, "hex")]
+
+
+def test_packing_of_long_texts(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = list(enumerate(long_texts()))
+    pieces = packing.digest(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).collect()
+    for i, t in rows:
+        ids = np.array([*slow.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
+        assert sum(r["length"] for r in own) == len(ids) == own[0]["doc_tokens"]
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     texts = texts_of(docs)
@@ -232,12 +274,26 @@ def test_fingerprints(docs, spark):
 
 def test_suffix_array():
     rng = np.random.default_rng(1)
-    for t in range(150):
-        s = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60))
-        s = np.tile(s, 3) if t % 3 == 0 else s
+    for t in range(300):
+        s = rng.integers(0, rng.integers(1, 5) if t % 2 else 10**6, rng.integers(1, 60))
+        s = np.tile(s, 3) if t % 3 == 0 else np.sort(s)[:: 1 if t % 2 else -1] if t % 7 == 0 else s
         assert suffixes.suffix_array(s, int(s.max()) + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_array_with_many_names(monkeypatch):
+    rng = np.random.default_rng(2)
+    called = []
+    for name in ("_induce", "_induce_runs", "_induce_each"):
+        plain = getattr(suffixes, name)
+        monkeypatch.setattr(suffixes, name, lambda s, *a, plain=plain, name=name: called.append((name, a[2])) or plain(s, *a))
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(4000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 4000, 20_000)), bytes(range(1, 256)) * 300 + b"\x01" * 3000, b"".join(b"x" * int(k) + b"y" for k in rng.integers(0, 400, 300))]
+    for t in texts:
+        got = suffixes.suffix_array(np.frombuffer(t, np.uint8).astype(np.int64), 256)
+        assert np.array_equal(np.sort(got), np.arange(len(t))) and all(t[a:] < t[b:] for a, b in zip(got[:-1], got[1:]))
+    assert max(letters for _, letters in called) > 2048 and {name for name, _ in called} == {"_induce", "_induce_runs", "_induce_each"}
+
+
 def test_repeats(docs, empty):
     texts, seen = texts_of(docs), set()
     found = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
