@@ -4,10 +4,13 @@ From a bounded sample of labelled documents come terms (words, and stems that se
 hold and others don't, with their log odds as weights. The automaton of all strings within one edit of a term, and the trie
 of all terms, are intersected state by state into one table, which reads every word of a batch of texts in step: most words
 leave it after a few letters. A hit is then weighed by the words around it, whose log odds between hits in toxic and in
-other labelled documents tell quotation from abuse, and by whether it stands within quotation marks. A logistic regression
-of a document's hits gives the score. Only learned tables of bounded size reach the driver or are broadcast.
+other labelled documents tell quotation from abuse, and by whether it stands within quotation marks, which are counted from
+the start of the text. A word is a run of letters; one with a digit or sign inside, such as id1ot, is read as a whole too. A
+logistic regression of a document's hits gives the score. The model learns from at most `ROWS` labelled rows, and its size is
+bounded: `TERMS` terms by weight and support, `BUCKETS` context weights. The automaton is built once and sent to all tasks.
 
-Defined cases: a null or empty text, and any without a hit, gets the score of no hits; rows that repeat are scored each; a
+Defined cases: a null or empty text, and any without a hit, gets the score of no hits; a very long text is read whole; rows
+that repeat are scored each; a
 null doc_id counts as not held out; without labelled rows, or with one class alone, the score is the share of that class,
 0.0 without any; an empty table gives no rows; extra columns are ignored.
 """
@@ -116,12 +119,17 @@ class Automaton:
 
 
 def _class_table(kind: str, letters: dict[str, int]) -> np.ndarray:
-    """Of every code point: 1 if a letter (kind 'alpha'), else its number among letters."""
+    """Of every code point: 1 if a letter (kind 'alpha'); 0 to 3 for spaces, signs, digits and letters (kind 'word'); else its
+    number among letters."""
     key = (kind, "".join(letters))
     if key not in _CODES:
         out = np.zeros(0x110000, np.int16)
         if kind == "alpha":
             out[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = 1
+        elif kind == "word":
+            out[:] = 1 + 2 * _class_table("alpha", {})
+            out[[i for i in range(0x30000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]] = 0
+            out[[i for i in range(0x30000) if not 0xD800 <= i < 0xE000 and chr(i).isdigit()]] = 2
         else:
             out[[ord(c) for c in letters]] = list(letters.values())
         _CODES[key] = out
@@ -134,6 +142,7 @@ class Scanner:
 
     def __init__(self, lexicon: list[tuple[str, bool, float]]) -> None:
         words, stems = ([(t, w) for t, s, w in lexicon if s is kind] for kind in (False, True))
+        self.longest = max((len(t) for t, _, _ in lexicon), default=0)
         self.parts = [(Automaton([t for t, _ in own], edits, kind), np.array([w for _, w in own])) for own, edits, kind in ((words, 1, False), (stems, 0, True)) if own]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, dict[str, list]]]:
@@ -147,6 +156,32 @@ class Scanner:
         if at < len(texts):
             yield at, len(texts) - at, self.slice(texts[at:])
 
+    def with_mixed(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, and with them each run without spaces, between its outermost letters or digits, that holds both
+        letters and something else, and is short enough to be within one edit of a term."""
+        word = _class_table("word", {})[points]  # 0: space, 1: sign, 2: digit, 3: letter
+        edge = np.flatnonzero(np.diff((word > 0).view(np.int8), prepend=np.int8(0)))
+        strong = np.flatnonzero(word > 1)
+        if not len(strong):
+            return starts, ends
+        lo, hi = np.searchsorted(strong, edge[0::2]), np.searchsorted(strong, edge[1::2])
+        some = hi > lo
+        a, b = strong[lo[some]], strong[hi[some] - 1] + 1
+        letters = np.concatenate(([0], np.cumsum(word == 3)))
+        own = letters[b] - letters[a]
+        mixed = (own > 0) & (own < b - a) & (b - a <= self.longest + 1) & (b - a >= FUZZY_FROM - 1)
+        order = np.argsort(np.concatenate([starts, a[mixed]]), kind="stable")
+        return np.concatenate([starts, a[mixed]])[order], np.concatenate([ends, b[mixed]])[order]
+
+    def inside(self, t: int, best: dict, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """A hit on a run of letters stands for the longer word that it is part of, and the other way round if it is worse."""
+        for other in (t - 1, t + 1):
+            if other in best and starts[other] <= starts[t] and ends[t] <= ends[other]:
+                return best[other] > best[t] or (best[other] == best[t] and other < t)
+            if other in best and starts[t] <= starts[other] and ends[other] <= ends[t] and best[other] >= best[t]:
+                return True
+        return False
+
     def slice(self, texts: list[str]) -> dict:
         low = [t.lower() for t in texts]
         whole = "\n".join(low) + "\n"
@@ -154,6 +189,7 @@ class Scanner:
         edge = np.flatnonzero(np.diff(_class_table("alpha", {})[points], prepend=np.int16(0)))
         starts, ends = edge[0::2], edge[1::2]
         bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)))
+        starts, ends = self.with_mixed(points, starts, ends)
         first = np.searchsorted(starts, bounds)
         best: dict[int, tuple[float, int]] = {}
         for automaton, weights in self.parts:
@@ -164,17 +200,17 @@ class Scanner:
                     best[token] = new
         import xxhash
 
-        hits = sorted(best)
+        hits = [t for t in sorted(best) if not self.inside(t, best, starts, ends)]
         doc = np.searchsorted(first, np.array(hits, np.int64), side="right") - 1
         out = {"words": np.diff(first), "doc": doc, "weight": np.array([best[t][1] for t in hits]), "distance": np.array([-best[t][0] for t in hits]), "quoted": [], "context": []}
         for t, d in zip(hits, doc.tolist()):
             lo, hi = max(first[d], t - SIDE), min(first[d + 1], t + SIDE + 1)
             out["context"].append([xxhash.xxh32_intdigest(whole[starts[j] : ends[j]].encode("utf-8", "surrogatepass")) % BUCKETS for j in range(lo, hi) if j != t])
-            line = whole.rfind("\n", 0, starts[t]) + 1
-            stop = whole.find("\n", ends[t])
-            before = sum(whole.count(q, max(line, starts[t] - 400), starts[t]) for q in QUOTES)
-            behind = any(whole.find(q, ends[t], min(stop, ends[t] + 400)) >= 0 for q in QUOTES)
-            out["quoted"].append(bool(before % 2 and behind))
+        marks = np.flatnonzero(np.isin(points, [ord(q) for q in QUOTES]))
+        at = np.array(hits, np.int64)
+        before = np.searchsorted(marks, starts[at]) - np.searchsorted(marks, bounds[doc])
+        after = np.searchsorted(marks, bounds[doc + 1]) - np.searchsorted(marks, ends[at])
+        out["quoted"] = ((before % 2 == 1) & (after > 0)).tolist()
         return out
 
 
@@ -229,10 +265,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     lexicon = learn_lexicon(sample)
     mean = sample.agg(F.avg("label")).first()[0] or 0.0
     if not lexicon:
-        return {"lexicon": [], "context": np.zeros(BUCKETS), "weights": None, "mean": float(mean)}
+        return {"lexicon": [], "scanner": Scanner([]), "context": np.zeros(BUCKETS), "weights": None, "mean": float(mean)}
+
+    scanner = Scanner(lexicon)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(lexicon)
         for batch in batches:
             label = batch["label"].to_numpy()
             for at, n, hits in scanner(batch["text"].tolist()):
@@ -248,21 +285,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     context = np.log(rates[1] / rates[0]) if totals.min() > 100 else np.zeros(BUCKETS)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(lexicon)
         for batch in batches:
             for at, n, hits in scanner(batch["text"].tolist()):
                 yield pd.DataFrame({"label": batch["label"].to_numpy()[at : at + n], "x": list(features(hits, context))})
 
     table = sample.mapInPandas(rows, "label int, x array<double>").toPandas()  # ROWS rows of 7 numbers at most
     y = table["label"].to_numpy(float)
-    return {"lexicon": lexicon, "context": context, "weights": logistic(np.array(table["x"].tolist()), y), "mean": float(y.mean())}
+    return {"lexicon": lexicon, "scanner": scanner, "context": context, "weights": logistic(np.array(table["x"].tolist()), y), "mean": float(y.mean())}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model["lexicon"])
+        scanner = model["scanner"]
         for batch in frames(batches):
             out = []
             for _, n, hits in scanner(batch["text"].tolist()):
@@ -284,7 +320,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, schema = train(docs, labels), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model["lexicon"])
+        scanner = model["scanner"]
         for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             keep = []
             for _, n, hits in scanner([t or "" for t in batch.column("text").to_pylist()]):

@@ -402,3 +402,12 @@ def test_pipeline(spark):
         docs = stage(spark, docs, sf)
         assert docs.columns == source.columns, name
     assert 0 < docs.count() and set(registry.QUERIES) and corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_scanner_reads_mixed_words_and_long_quotations():
+    scanner = toxicity.Scanner([("idiot", False, 2.0), ("clown", False, 1.0)])
+    texts = ["an id1ot, a cl-wn; 12345 x2 idiot's", '"' + "calm words\n" * 200 + "idiot " + "more words " * 200 + '" clown', "no one", "", "clown-idiot"]
+    (_, n, hits), = list(scanner(texts))
+    assert n == 5 and hits["doc"].tolist() == [0, 0, 0, 1, 1, 4, 4]
+    assert hits["distance"].tolist() == [1, 1, 0, 0, 0, 0, 0]
+    assert hits["quoted"] == [False, False, False, True, False, False, False]
