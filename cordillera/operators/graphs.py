@@ -11,14 +11,15 @@ from .joins import hot_keys, salted_join
 from .storage import discard, staged
 
 
-def reached(edges: DataFrame, plain: int = 3) -> DataFrame:
+def reached(edges: DataFrame, plain: int = 8) -> DataFrame:
     """edges (a, b) -> (id, label) for every id on an edge: label is the smallest id that it can reach.
 
     A round takes the smallest label of each id's neighbours. Stars are done in `plain` such rounds; from then on each also
     takes the label of its label, so that long chains halve. Both joins split hubs and common labels. Every round is a
     staged table. No edges: no rows. Self links and repeated edges change nothing.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = staged(edges.where("a is not null and b is not null").select(ways.alias("e")).select("e.a", "e.b").distinct())
     hubs = hot_keys(both, ["b"])
     state, rounds = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))), 0
     while True:
