@@ -76,7 +76,12 @@ def add(c: Catalog) -> None:
     select a.doc_id as source, b.doc_id as target, count(*) as words from p a join p b on a.w = b.w and a.doc_id < b.doc_id group by a.doc_id, b.doc_id""", """with p as (select doc_id, w from (select doc_id, unnest(['erhea', 'thand', 'tionth', 'blethe', 'oner']) as w, text from (select * from documents order by doc_id limit 200) d) x where contains(lower(text), w))
     select a.doc_id as source, b.doc_id as target, count(*) as words from p a join p b on a.w = b.w and a.doc_id < b.doc_id group by a.doc_id, b.doc_id""")
     c.sql("explicit_reference_edges", "lineitem orders", "select distinct l.l_orderkey as source, o.o_orderkey as target from lineitem l join orders o on l.l_partkey = o.o_orderkey where l.l_orderkey <> o.o_orderkey")
-    c.sql("concept_edges", "conversations", "select conv_id as concept, turn as paper, length(text) as weight from conversations where role = 'user'")
+    # concepts: a conversation, named by its first words; the paper of its first turn, and those of all its user's turns
+    concepts = """with said as (select conv_id, turn, text, (conv_id * 7 + turn) % 400 as paper from conversations where role = 'user'),
+    c as (select conv_id as id, min_by(paper, turn) as source_paper, {collect}(paper) as source_papers, min_by(text, turn) as definition from said group by conv_id),
+    e as (select distinct id, definition, paper from (select id, definition, source_paper as paper from c union all {rest}) x where paper is not null and paper <> 0)
+    select e.paper as source, e.id as target, 'defines_concept' as kind, substring(e.definition, 1, 120) as definition, d.lang from e join documents d on d.doc_id = e.paper"""
+    c.sql("concept_edges", "conversations documents", concepts.format(collect="collect_list", rest="select id, definition, explode(source_papers) from c"), concepts.format(collect="list", rest="select id, definition, unnest(source_papers) from c"))
     c.sql("edge_priority_union", "orders lineitem", """with e as (select o_custkey as s, o_orderkey as t, 1 as pri from orders where o_orderstatus = 'F' union all select l_suppkey, l_orderkey, 2 from lineitem union all select o_custkey, o_orderkey, 3 from orders)
     select s as source, t as target, pri from (select *, row_number() over (partition by s, t order by pri) as rn from e) x where rn = 1""")
     html = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' '{g}), '(?is)<style[^>]*>.*?</style>', ' '{g}), '<[^>]+>', ' '{g}), '[ \t\n]+', ' '{g}))"

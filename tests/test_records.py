@@ -44,3 +44,29 @@ def test_solvers(spark):
     rows = spark.createDataFrame([(float(i), float(i % 4), 2.0 * i - 3.0 * (i % 4) + 1) for i in range(50)], "a double, b double, y double")
     w = graphs.ridge(rows, ["a", "b"], "y", 1e-9)
     assert np.allclose([w["a"], w["b"], w["intercept"]], [2, -3, 1], atol=1e-5)
+
+
+def test_ndjson_sinks_and_arrays(spark, tmp_path):
+    from cordillera.sources import ndjson
+
+    (tmp_path / "one.json").write_text('[\n  {"name": "A",\n   "n": 1}\n]\n')
+    assert [r["name"] for r in ndjson.reference_table(spark, str(tmp_path / "one.json"), "name").collect()] == ["A"]
+    (tmp_path / "lines.json").write_text('{"name": "A", "n": 1}\n{"name": "A", "n": 2}\n')
+    assert [r["n"] for r in ndjson.reference_table(spark, str(tmp_path / "lines.json"), "name").collect()] == [2]
+    out = str(tmp_path / "out")
+    for n in (3, 2):
+        ndjson.overwrite(spark.range(n), out)
+        assert spark.read.json(out).count() == n
+    ndjson.append(spark.range(1), out)
+    assert spark.read.json(out).count() == 3 and not (tmp_path / "out.old").exists() and not (tmp_path / "out.new").exists()
+
+
+def test_ndjson_audit_in_order(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from cordillera.sources import ndjson
+
+    (tmp_path / "x.ndjson").write_text("\n".join(["zz", '{"a": 1}', "", "[1]", "bb", "aa", "cc", "dd"]) + "\n")
+    good, bad = ndjson.scan(spark, str(tmp_path / "x.ndjson"), StructType().add("a", "integer"))
+    row = ndjson.audit(good, bad).first()
+    assert (row["good"], row["bad"], row["examples"]) == (1, 6, ["zz", "[1]", "bb", "aa", "cc"])
