@@ -1,7 +1,7 @@
 """All queries on the test tables by name, with the SQL that says the same."""
 
 from .operators import geometry, graphs, models, ordering
-from .plans import literature, spatial, tissue
+from .plans import literature, panels, spatial, tissue
 from .plans.base import Catalog
 from .streaming import ingest
 
@@ -9,6 +9,7 @@ CATALOG = Catalog()
 literature.add(CATALOG)
 spatial.add(CATALOG)
 tissue.add(CATALOG)
+panels.add(CATALOG)
 
 _NEAR = f"with recursive cells as ({spatial.CELLS_D}), e as (select a.id as u, b.id as v from cells a join cells b on a.id <> b.id and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0025)"
 CATALOG.frame("connected_components", graphs.components_query, _NEAR + ", r as (select id as s, id as t from cells union select r.s, e.v from r join e on r.t = e.u) select s as id, min(t) as component from r group by s")
