@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import hot_keys, salted_join
@@ -44,6 +44,82 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
+def _ends(x0: str, x1: str, o0: str, o1: str) -> tuple[Column, Column]:
+    """Smallest and largest difference of a number from x0 to x1 to one from o0 to o1. Rounding keeps the order of
+    differences, squares and sums, so bounds made of them hold for the rounded distances too."""
+    return F.greatest(F.col(o0) - F.col(x1), F.col(x0) - F.col(o1), F.lit(0.0)), F.greatest(F.col(o1) - F.col(x0), F.col(x1) - F.col(o0))
+
+
+def _bounds(a: str, b: str) -> tuple[Column, Column]:
+    """Smallest and largest squared distance of a point in box a to one in box b; boxes are columns a_x0, a_x1, a_y0, a_y1."""
+    (x, fx), (y, fy) = (_ends(f"{a}_{k}0", f"{a}_{k}1", f"{b}_{k}0", f"{b}_{k}1") for k in "xy")
+    return x * x + y * y, fx * fx + fy * fy
+
+
+def _box() -> list[Column]:
+    return [f(k).alias(f"{k}{i}") for k in "xy" for i, f in enumerate((F.min, F.max))]
+
+
+def _named(table: DataFrame, side: str) -> DataFrame:
+    return table.select([F.col(c).alias(f"{side}_{c}") for c in table.columns])
+
+
+def _links_left(points: DataFrame, pairs: DataFrame, square: float, fine: float) -> DataFrame:
+    """points (cell, x, y), pairs of cells (u, v) -> the pairs with a link, by finer boxes, then by the points that they leave."""
+    held = points.join(pairs.select(F.col("u").alias("cell")).union(pairs.select("v")).distinct(), "cell", "left_semi")
+    held = staged(held.select("cell", "x", "y", F.rint(F.col("x") / fine).alias("sx"), F.rint(F.col("y") / fine).alias("sy")).distinct())
+    boxes = staged(held.groupBy("cell", "sx", "sy").agg(*_box()))
+    a, b = _named(boxes, "a"), _named(boxes, "b")
+    least, most = _bounds("a", "b")
+    met = pairs.join(a, F.col("u") == F.col("a_cell")).join(b, F.col("v") == F.col("b_cell")).where(least <= square).withColumn("sure", most <= square)
+    met = staged(met.drop("a_cell", "b_cell"))
+    sure = met.where("sure").select("u", "v").distinct()
+    unsure = met.join(sure, ["u", "v"], "left_anti")
+
+    def close(side: str, cell: str, other: str) -> DataFrame:
+        """The points of each pair's box on one side that the other side's box lets come near."""
+        own = held.select(F.col("cell").alias(cell), F.col("sx").alias(f"{side}_sx"), F.col("sy").alias(f"{side}_sy"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
+        (x, _), (y, _) = (_ends(f"{side}{k}", f"{side}{k}", f"{other}_{k}0", f"{other}_{k}1") for k in "xy")
+        return unsure.join(own, [cell, f"{side}_sx", f"{side}_sy"]).where(x * x + y * y <= square).select("u", "v", "a_sx", "a_sy", "b_sx", "b_sy", f"{side}x", f"{side}y")
+
+    both = close("a", "u", "b").join(close("b", "v", "a"), ["u", "v", "a_sx", "a_sy", "b_sx", "b_sy"])
+    x, y = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return sure.union(both.where(x * x + y * y <= square).select("u", "v").distinct())
+
+
+def near_components(points: DataFrame, square: float) -> DataFrame:
+    """points (id, x, y; ids unique) -> (id, component): the smallest id in reach by steps of at most `square`, squared.
+
+    The links themselves, which grow with the square of the density, are never made. Points in one cell of a grid are all
+    linked, so cells are what is joined: by their outermost points in eight directions; only pairs of cells that this leaves
+    in different components are then decided by finer boxes and by points. Points without finite coordinates stand alone.
+    """
+    wide = 0.7 * square**0.5  # two points in one cell are at most 0.99 of the radius apart, linked cells at most 2 away
+    placed = points.select("id", "x", "y", F.rint(F.col("x") / wide).alias("gx"), F.rint(F.col("y") / wide).alias("gy"))
+    finite = placed.where("abs(x) < double('Infinity') and abs(y) < double('Infinity')")
+    way = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
+    outer = [f(F.struct("x", "y"), w) for w in way for f in (F.min_by, F.max_by)]
+    cells = staged(finite.groupBy("gx", "gy").agg(F.min("id").alias("cell"), *_box(), F.array_distinct(F.array(*outer)).alias("outer")))
+    offsets = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    a = _named(cells, "a").withColumn("o", F.explode(F.array(*[F.struct(F.lit(float(i)).alias("x"), F.lit(float(j)).alias("y")) for i, j in offsets])))
+    b = _named(cells, "b")
+    linked = F.exists("a_outer", lambda p: F.exists("b_outer", lambda q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]) <= square))
+    pairs = a.join(b, (F.col("a_gx") + F.col("o.x") == F.col("b_gx")) & (F.col("a_gy") + F.col("o.y") == F.col("b_gy"))).where("a_cell <> b_cell").where(_bounds("a", "b")[0] <= square)
+    pairs = staged(pairs.select(F.col("a_cell").alias("u"), F.col("b_cell").alias("v"), linked.alias("linked")))
+    found = reached(pairs.where("linked").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    label = cells.select(F.col("cell").alias("id"), "gx", "gy").join(found, "id", "left").select(F.col("id").alias("cell"), "gx", "gy", F.coalesce("label", "id").alias("label"))
+    label = staged(label)
+    u, v = (label.select(F.col("cell").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv")
+    apart = staged(pairs.where("not linked").join(u, "u").join(v, "v").where("u_label <> v_label"))
+    if apart.limit(1).count():
+        inner = finite.join(label.select("gx", "gy", "cell"), ["gx", "gy"]).select("cell", "x", "y")
+        more = _links_left(inner, apart.select("u", "v"), square, wide / 8).join(apart, ["u", "v"])
+        top = reached(more.select(F.col("u_label").alias("a"), F.col("v_label").alias("b")))
+        label = label.join(top.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").withColumn("label", F.coalesce("top", "label"))
+    label = staged(label.select("gx", "gy", "label"))
+    return salted_join(placed, label, ["gx", "gy"], ["id"], "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
 def front(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """nodes (id, core boolean): the core's boundary and what is one step from it, where the core's component has `least`
     members. id, part: core, front or peri."""
@@ -96,8 +172,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, edges = _cells(spark, sf_dir)
-    return components(cells, edges)
+    cells, _ = _cells(spark, sf_dir)
+    return near_components(cells, 0.0025)
 
 
 def front_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Queries against their SQL on small tables that show what first occurred on large ones."""
 
 import math
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from cordillera.catalog import ORACLE_SQL, QUERIES
+from cordillera.operators import graphs, storage
 
 EMBEDDINGS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
 
@@ -35,3 +37,27 @@ def test_laplacian_of_degrees_whose_product_underflows(spark, tmp_path):
     embeddings(tmp_path, [*close, (-1.028, 0), (-1, 0), (-0.951, 0), (-0.923, 0)])
     values = {v[2] for v in same(spark, tmp_path, "normalized_laplacian")}
     assert values >= {-1.0, -math.inf, "NaN"}
+
+
+def test_components_of_points(spark, tmp_path):
+    """Near the density where components join; a link that no outermost point of a cell has; plates just out of reach;
+    copies; points that have no place."""
+    rng = random.Random(1)
+    sparse = [(rng.uniform(2, 3), rng.uniform(2, 3)) for _ in range(300)]
+    hidden = [(0.030, 0.333), (0.028, 0.367), (0.029, 0.350), (0.0286, 0.3502), (0.0785, 0.367), (0.0805, 0.333), (0.0787, 0.350)]
+    plates = [(x + rng.uniform(0, 0.03), rng.uniform(-1, -0.8)) for x in (0, 0.0801) for _ in range(60)]
+    places = [*sparse, *hidden, *plates, (5, 5), (5, 5), (math.nan, 5), (5, math.nan), (math.inf, 5), (math.inf, 5), (1e30, 5), (1e30, 5)]
+    rng.shuffle(places)
+    embeddings(tmp_path, places)
+    label = dict(same(spark, tmp_path, "connected_components"))
+    assert len({label[places.index(p)] for p in hidden}) == 1
+    assert len({label[i] for i, p in enumerate(places) if p in plates}) > 1
+
+
+def test_components_of_a_crowd_make_no_links_of_all(spark, tmp_path, monkeypatch):
+    rng, rows = random.Random(2), []
+    embeddings(tmp_path, [(rng.uniform(0, 0.03), rng.uniform(0, 0.03)) for _ in range(1500)])
+    monkeypatch.setattr(graphs, "staged", lambda df: rows.append((out := storage.staged(df)).count()) or out)
+    found = QUERIES["connected_components"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(1500)}
+    assert max(rows) <= 1500
