@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .joins import hot_keys, salted_join
@@ -120,6 +122,37 @@ def near_components(points: DataFrame, square: float) -> DataFrame:
     return salted_join(placed, label, ["gx", "gy"], ["id"], "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
+def nearest(points: DataFrame, radius: float, square: float, k: int, crowd: int = 64) -> DataFrame:
+    """points (id, x, y; ids unique) -> (a, b, d): each point's k nearest others within the radius (`square`: squared), ties to
+    smaller ids. Grids go from fine to as wide as the radius: whoever has k neighbours within a cell's width is done, so a
+    crowd is met in fine cells only. Of points at one place, only the k + 1 smallest ids can be anyone's neighbours.
+    """
+    points = staged(points.select("id", "x", "y").where("x is not null and y is not null"))
+    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    near = staged(points.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank"))
+    cell = lambda w: [F.floor(F.col(c) / w).alias(f"g{c}") for c in "xy"]
+    fine = 0
+    while fine < 8 and (near.groupBy(*cell(radius / 4**fine)).count().agg(F.max("count")).first()[0] or 0) > crowd:
+        fine += 1
+    offsets = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    dx, dy, own = F.col("ax") - F.col("x"), F.col("ay") - F.col("y"), Window.partitionBy("a")
+    todo, found = points, []
+    for w in [radius / 4**i for i in range(fine, -1, -1)]:
+        probe = todo.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *cell(w), F.explode(offsets).alias("o"))
+        probe = probe.select("a", "ax", "ay", (F.col("gx") + F.col("o.x")).alias("gx"), (F.col("gy") + F.col("o.y")).alias("gy"))
+        met = probe.join(near.select(F.col("id").alias("b"), "x", "y", *cell(w)), ["gx", "gy"]).where((F.col("a") != F.col("b")) & (dx * dx + dy * dy <= square))
+        met = met.select("a", "b", F.sqrt(dx * dx + dy * dy).alias("d"))
+        if w < radius:  # nobody outside the nine cells is as near; the rest is for rounding
+            met = met.where(F.col("d") <= 0.999 * w)
+        met = met.withColumn("rn", F.row_number().over(own.orderBy("d", "b"))).where(F.col("rn") <= k)
+        if w < radius:
+            met = met.withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") == k)
+        found.append(staged(met.select("a", "b", "d")))
+        if w < radius:
+            todo = staged(todo.join(found[-1].select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+    return reduce(DataFrame.union, found)
+
+
 def front(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """nodes (id, core boolean): the core's boundary and what is one step from it, where the core's component has `least`
     members. id, part: core, front or peri."""

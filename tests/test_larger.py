@@ -61,3 +61,22 @@ def test_components_of_a_crowd_make_no_links_of_all(spark, tmp_path, monkeypatch
     found = QUERIES["connected_components"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in found} == {(i, 0) for i in range(1500)}
     assert max(rows) <= 1500
+
+
+def test_laplacian_of_crowds_copies_and_stragglers(spark, tmp_path, monkeypatch):
+    """Neighbours are found by grids of several widths; copies of one place are met by few of them only."""
+    rng, rows = random.Random(3), []
+    crowd = [(rng.uniform(0, 0.004), rng.uniform(0, 0.004)) for _ in range(150)]
+    around = [(rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1)) for _ in range(150)]
+    places = [*crowd, *around, *[(0.001, 0.001)] * 30, *[(0.5, 0.5)] * 9, (0.53, 0.5), (2, 2)]
+    rng.shuffle(places)
+    embeddings(tmp_path, places, [i % 2 for i in range(len(places))])
+    assert same(spark, tmp_path, "normalized_laplacian")
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "id long, x double, y double")
+    monkeypatch.setattr(graphs, "staged", lambda df: rows.append((out := storage.staged(df)).count()) or out)
+    found = {(r["a"], r["b"]) for r in graphs.nearest(points, 0.05, 0.0025, 6).collect()}
+    assert len(rows) > 4  # more than one width
+    far = lambda i, j: math.sqrt((places[i][0] - places[j][0]) ** 2 + (places[i][1] - places[j][1]) ** 2)
+    others = {i: sorted((far(i, j), j) for j in range(len(places)) if j != i and far(i, j) <= 0.05) for i in range(len(places))}
+    brute = {(i, j) for i, near in others.items() for _, j in near[:6]}
+    assert found == brute
